@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, sharding
 from .common import table
 
 
+def op3_sharding(spark, sf_dir):
+    return sharding.shard_table(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_mixing": op10_mixing}
+QUERIES = {"op3_sharding": op3_sharding, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op10_mixing": mixing.SQL}
