@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import chat, mixing, sharding
 from .common import table
 
 
+def op1_chat(spark, sf_dir):
+    return chat.digest(chat.format_turns(chat.with_conflict(table(spark, sf_dir, "conversations"))))
+
+
 def op3_sharding(spark, sf_dir):
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
@@ -14,5 +18,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_sharding": op3_sharding, "op10_mixing": op10_mixing}
-ORACLE_SQL = {"op10_mixing": mixing.SQL}
+QUERIES = {"op1_chat": op1_chat, "op3_sharding": op3_sharding, "op10_mixing": op10_mixing}
+ORACLE_SQL = {"op1_chat": chat.SQL, "op10_mixing": mixing.SQL}
