@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, sharding
+from . import bpe, chat, media, mixing, sharding
 from .common import table
 
 
@@ -10,13 +10,21 @@ def op1_chat(spark, sf_dir):
     return chat.digest(chat.format_turns(chat.with_conflict(table(spark, sf_dir, "conversations"))))
 
 
+def op2_media(spark, sf_dir):
+    return media.media_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark, sf_dir):
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark, sf_dir):
+    return bpe.token_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op3_sharding": op3_sharding, "op10_mixing": op10_mixing}
+QUERIES = {"op1_chat": op1_chat, "op2_media": op2_media, "op3_sharding": op3_sharding, "op7_bpe": op7_bpe, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op1_chat": chat.SQL, "op10_mixing": mixing.SQL}
