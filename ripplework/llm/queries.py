@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, mixing, sharding
+from . import bpe, chat, media, mixing, rules, sharding
 from .common import table
 
 
@@ -22,9 +22,13 @@ def op7_bpe(spark, sf_dir):
     return bpe.token_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_rules(spark, sf_dir):
+    return rules.rule_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark, sf_dir):
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_media": op2_media, "op3_sharding": op3_sharding, "op7_bpe": op7_bpe, "op10_mixing": op10_mixing}
+QUERIES = {"op1_chat": op1_chat, "op2_media": op2_media, "op3_sharding": op3_sharding, "op7_bpe": op7_bpe, "op9_rules": op9_rules, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op1_chat": chat.SQL, "op10_mixing": mixing.SQL}
