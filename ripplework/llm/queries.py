@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, mixing, rules, sharding
+from . import bpe, chat, media, mixing, rules, sharding, simhash
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op3_sharding(spark, sf_dir):
     return sharding.shard_table(table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark, sf_dir):
+    return simhash.cluster_table(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark, sf_dir):
     return bpe.token_digest(table(spark, sf_dir, "documents"))
 
@@ -30,5 +34,5 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_media": op2_media, "op3_sharding": op3_sharding, "op7_bpe": op7_bpe, "op9_rules": op9_rules, "op10_mixing": op10_mixing}
+QUERIES = {"op1_chat": op1_chat, "op2_media": op2_media, "op3_sharding": op3_sharding, "op4_simhash": op4_simhash, "op7_bpe": op7_bpe, "op9_rules": op9_rules, "op10_mixing": op10_mixing}
 ORACLE_SQL = {"op1_chat": chat.SQL, "op10_mixing": mixing.SQL}
