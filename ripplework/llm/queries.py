@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, mixing, rules, sharding, simhash
+from . import bpe, chat, langid, media, mixing, quality, rules, secrets, sharding, simhash
 from .common import table
 
 
@@ -22,10 +22,22 @@ def op4_simhash(spark, sf_dir):
     return simhash.cluster_table(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark, sf_dir):
+    return quality.quality_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_secrets(spark, sf_dir):
+    return secrets.secret_table(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark, sf_dir):
     return bpe.token_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_langid(spark, sf_dir):
+    return langid.language_table(table(spark, sf_dir, "documents"))
+
+
 def op9_rules(spark, sf_dir):
     return rules.rule_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -34,5 +46,8 @@ def op10_mixing(spark, sf_dir):
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_chat": op1_chat, "op2_media": op2_media, "op3_sharding": op3_sharding, "op4_simhash": op4_simhash, "op7_bpe": op7_bpe, "op9_rules": op9_rules, "op10_mixing": op10_mixing}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_chat, op2_media, op3_sharding, op4_simhash, op5_quality, op6_secrets, op7_bpe, op8_langid, op9_rules, op10_mixing)
+}
 ORACLE_SQL = {"op1_chat": chat.SQL, "op10_mixing": mixing.SQL}
