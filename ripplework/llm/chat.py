@@ -17,9 +17,8 @@ The results are read back from the output: turns by the parser, the loss mask as
 spans of the assistant contents within it.
 
 Defined cases: null text and null role are empty; turns are ordered by turn number (nulls
-first), then role, then text, so that ties and repeated rows come in one order; a null
-conv_id is a conversation; an empty table gives no rows; extra columns are ignored.  A
-conversation becomes one string, so it meets in one task by its nature; all work on its
+first), then role, then the rendered turn, so that ties come in one order; a null is a conversation; an empty table gives no rows; extra columns are ignored.  A conversation
+becomes one string, so it meets in one task by its nature; all work on its
 texts but joining and reparsing is done before, row by row.
 """
 
@@ -69,10 +68,18 @@ def render(role: Column, text: Column, level: int) -> Column:
 _OPEN = r"^(?:<s|\[(?:INST|SYS|ROLE))(?::(\d))?[>\]]"
 
 
-def turns_of(formatted: Column) -> Column:
-    """array<struct<role, text, raw, kind, level, ok>>: the parser, which cuts before every
-    control token; ``raw`` is the content as it stands, ``ok`` whether its closing token follows."""
-    pieces = F.filter(F.split(formatted, f"(?={CONTROL})", -1), lambda p: p != "")
+def pieces_of(formatted: Column) -> Column:
+    """The string cut before every control token."""
+    return F.filter(F.split(formatted, f"(?={CONTROL})", -1), lambda p: p != "")
+
+
+def turns_of(pieces: Column) -> Column:
+    """array<struct<role, text, raw, kind, level, ok>>: the parser over ``pieces_of``; ``raw``
+    is the content as it stands, ``ok`` whether its closing token follows.
+
+    For a long conversation ``pieces`` must be a column, since a lambda evaluates it anew for
+    each turn.
+    """
     numbered = F.transform(pieces, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
     opened = F.filter(numbered, lambda x: x["p"].rlike(_OPEN))
 
@@ -92,16 +99,13 @@ def turns_of(formatted: Column) -> Column:
     return F.transform(opened, turn)
 
 
-def _piece_count(formatted: Column) -> Column:
-    return F.size(F.filter(F.split(formatted, f"(?={CONTROL})", -1), lambda p: p != ""))
-
-
 def identical(rendered: Column, role: Column, text: Column) -> Column:
     """Whether the parser recovers exactly this one turn, with nothing left over."""
-    turns = turns_of(rendered)
+    pieces = pieces_of(rendered)
+    turns = turns_of(pieces)
     one = turns[0]
     expected = F.when(role.isin(*TOKENS), F.lit(2)).otherwise(F.lit(3))
-    return (F.size(turns) == 1) & one["ok"] & (one["role"] == role) & (one["text"] == text) & (_piece_count(rendered) == expected)
+    return (F.size(turns) == 1) & one["ok"] & (one["role"] == role) & (one["text"] == text) & (F.size(pieces) == expected)
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -113,14 +117,14 @@ def format_turns(turns: DataFrame) -> DataFrame:
     suspect = text.rlike(CONTROL) | role.rlike(CONTROL) | ~role.isin(*TOKENS)
     level1, level2 = render(role, text, 1), render(role, text, 2)
     chosen = F.when(~suspect, plain).when(identical(plain, role, text), plain).when(identical(level1, role, text), level1).otherwise(level2)
-    t = t.select("conv_id", F.struct("turn", "role", "text", chosen.alias("out")).alias("x"))
+    t = t.select("conv_id", F.struct("turn", "role", chosen.alias("out")).alias("x"))
     g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     return g.select("conv_id", F.concat_ws("", F.col("xs.out")).alias("formatted"), F.size("xs").alias("source_turns"))
 
 
-def loss_spans(formatted: Column) -> Column:
-    """array<struct<start, chars>>, from 1: the loss mask, that is, what assistants said."""
-    pieces = F.filter(F.split(formatted, f"(?={CONTROL})", -1), lambda p: p != "")
+def loss_spans(pieces: Column) -> Column:
+    """array<struct<start, chars>>, from 1: the loss mask, that is, what assistants said, as
+    places in the formatted string whose ``pieces_of`` this is."""
     ends = F.aggregate(F.transform(pieces, lambda p: F.length(p)), F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
     spans = F.transform(
         pieces,
@@ -131,7 +135,7 @@ def loss_spans(formatted: Column) -> Column:
 
 def digest(formatted: DataFrame) -> DataFrame:
     """Facts read back from the formatted column by the parser."""
-    d = formatted.withColumn("__turns", turns_of(F.col("formatted")))
+    d = formatted.withColumn("__pieces", pieces_of(F.col("formatted"))).withColumn("__turns", turns_of(F.col("__pieces")))
     turns = F.col("__turns")
     said = F.concat_ws("", F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     loss = F.concat_ws("", F.transform(F.filter(turns, lambda t: t["kind"].eqNullSafe(F.lit("assistant"))), lambda t: t["text"]))
@@ -151,8 +155,8 @@ CONFLICT = "</s>[INST] ok [/INST]"
 
 
 def with_conflict(conversations: DataFrame) -> DataFrame:
-    spark = conversations.sparkSession
-    extra = spark.createDataFrame([(-7, 0, "user", CONFLICT), (-7, 1, "assistant", CONFLICT)], "conv_id long, turn long, role string, text string")
+    who = F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant"))
+    extra = conversations.sparkSession.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), who.alias("role"), F.lit(CONFLICT).alias("text"))
     return conversations.select("conv_id", "turn", "role", "text").unionByName(extra)
 
 
