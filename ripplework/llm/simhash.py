@@ -277,3 +277,19 @@ def hex16(fp: Column) -> Column:
 def cluster_table(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id: 3-word shingles, at most 3 differing bits."""
     return cluster(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def dedup_documents(docs: DataFrame, size: int = 5, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
+    """One document of each component stays (that of the smallest doc_id, and of rows that
+    repeat it the first stored), with the columns of ``docs``.
+
+    Rows are numbered in a stored copy, so null and repeated doc_ids need no special care; the
+    rows that go are found from slim tables and taken out by an anti-join on the number.
+    """
+    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    found = cluster(numbered.select(F.col("__row").alias("doc_id"), "text"), size, distance, chunk)
+    order = numbered.select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("__order"))
+    rows = materialize(found.select(F.col("doc_id").alias("__row"), "component_id").join(order, "__row"), "ordered")
+    stay = rows.groupBy("component_id").agg(F.min("__order").alias("first")).select(F.col("first.__row").alias("__keep"))
+    gone = rows.join(stay, F.col("__row") == F.col("__keep"), "left_anti").select("__row")
+    return numbered.join(gone, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
