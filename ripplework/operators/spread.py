@@ -255,25 +255,11 @@ def all_factor_spread(g: AuxGraph, seeds: DataFrame, count: int, seed: int = 43,
     if not is_local(prep):
         raise ValueError(f"the all-factor spread walks graphs of up to {LOCAL_EDGES} edges")
     held = broadcast_graph(prep)
-    start = [r.node for r in seeds_table(g, seeds).collect()]
+    start = [r.node >> 3 for r in seeds_table(g, seeds).collect()]
 
     def run(r: int):
-        graph, memo = local_graph(held, model, factors, seed, False), {}
-        active, met, todo = set(start), {}, list(start)
-        while todo:
-            for v in graph.neighbours(r, todo.pop(), memo):
-                target, f = v & ~7, v & 7
-                if target in active:
-                    continue
-                if f:
-                    met.setdefault(target, set()).add(f)
-                    if len(met[target]) < factors:
-                        continue
-                    gate = all(target in graph.neighbours(r, target + i, memo) for i in range(1, factors + 1))
-                    if not gate:
-                        continue
-                active.add(target)
-                todo.append(target)
-        return [(r, len(active))]
+        from ripplework.operators.baselines import and_reach
+
+        return [(r, and_reach(local_graph(held, model, factors, seed, False), r, start, factors))]
 
     return per_world(spark, first, count, run, "r long, spread long")

@@ -2,9 +2,537 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def flagship(spark, sf_dir):
-    return QUERIES["top_degree_reach"](spark, sf_dir)
+from ripplework.functions.keyed import TWO32, sql_u32, u32
+from ripplework.functions.scratch import shared_folder, stored
+from ripplework.operators import baselines, graph, rrsets, select, social, spread
+from ripplework.operators.aux_graph import AuxGraph, build
+from ripplework.operators.experiment import run_experiment, wide
+from ripplework.plans import oracle as o
+from ripplework.sources import edges as src
+from ripplework.sources import sinks
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+WORLDS, SETS, SEEDS = 20, 200, 10
+MODELS = ("IC", "LT", "TRIGGER", "OLO", "IC2", "IC2MIX")
+
+
+def register(name: str, sql: str | None = None):
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return put
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["spread_ic_2"](spark, sf_dir)
+
+
+def users(spark: SparkSession, d: str) -> DataFrame:
+    return stored(src.load(spark, "user_seq", d), "edges")
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    return src.load(spark, "part_seq", d)
+
+
+def thin_parts(spark: SparkSession, d: str, share: float = 0.03) -> DataFrame:
+    return stored(parts(spark, d).where(u32("sparse", 1, F.col("src"), F.col("dst")) < F.lit(share * TWO32)), "edges")
+
+
+def held(g: AuxGraph) -> AuxGraph:
+    return AuxGraph(stored(g.nodes, "nodes"), stored(g.edges, "aux_edges"), g.node_prob, g.model, g.factors)
+
+
+# ---------------------------------------------------------------- sources
+
+register("edges_user_seq", o.query([o.USER_SEQ], "SELECT src, dst FROM e"))(users)
+register("edges_part_seq", o.query([o.PART_SEQ], "SELECT src, dst FROM e"))(parts)
+
+
+@register(
+    "edge_list_parse",
+    "SELECT user_id AS src, event_id AS dst, COUNT(*) AS n FROM events WHERE event_id % 7 NOT IN (0, 1, 2) GROUP BY ALL",
+)
+def edge_list_parse(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet")
+    ok = F.concat_ws("\t ", F.lit(" "), "user_id", "event_id", F.lit("more"))
+    k = F.col("event_id") % 7
+    lines = e.select(F.when(k == 0, F.concat(F.lit("  # "), ok)).when(k == 1, F.col("user_id").cast("string")).when(k == 2, F.lit("a b")).otherwise(ok).alias("value"))
+    return src.parse_edge_lines(lines).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("edges_undirected", o.query([o.USER_SEQ], "SELECT src, dst FROM e UNION SELECT dst, src FROM e"))
+def edges_undirected(spark, d):
+    return src.undirected(users(spark, d)).distinct()
+
+
+@register(
+    "id_remap",
+    o.query(
+        [o.USER_SEQ, "f AS (SELECT id, MIN(p) AS p FROM (SELECT src AS id, [src, dst, 0] AS p FROM e UNION ALL SELECT dst, [src, dst, 1] FROM e) GROUP BY id)",
+         "m AS (SELECT id, ROW_NUMBER() OVER (ORDER BY p) - 1 AS k FROM f)"],
+        "SELECT a.k AS src, b.k AS dst FROM e JOIN m a ON a.id = src JOIN m b ON b.id = dst",
+    ),
+)
+def id_remap(spark, d):
+    return src.remap_ids(users(spark, d), F.struct("src", "dst"))[0]
+
+
+@register("edges_compact_checked", o.query([o.USER_SEQ], "SELECT src, dst FROM e"))
+def edges_compact_checked(spark, d):
+    return src.check_compact(users(spark, d), 1 << 31)
+
+
+for _how, _sql in (
+    ("WC", "1.0::DOUBLE / COUNT(*) OVER (PARTITION BY dst)"),
+    ("UNI", "0.1::DOUBLE"),
+    ("TR", f"[0.1::DOUBLE, 0.01::DOUBLE, 0.001::DOUBLE][{sql_u32('tri', 0, 'src', 'dst')} % 3 + 1]"),
+):
+    register(f"weights_{_how.lower()}", o.query([o.USER_SEQ], f"SELECT src, dst, round({_sql}, 9) AS prob FROM e"))(
+        lambda spark, d, how=_how: src.weighted(users(spark, d), how).select("src", "dst", F.round("prob", 9).alias("prob"))
+    )
+
+# ---------------------------------------------------------------- accessors
+
+
+@register("in_degree", o.query([o.PART_SEQ, o.NODES], "SELECT id, COUNT(dst) AS degree FROM v LEFT JOIN e ON dst = id GROUP BY id"))
+def in_degree(spark, d):
+    e = stored(parts(spark, d), "edges")
+    return graph.in_degree(e, graph.nodes_of(e))
+
+
+@register("out_degree", o.query([o.PART_SEQ, o.NODES], "SELECT id, COUNT(src) AS degree FROM v LEFT JOIN e ON src = id GROUP BY id"))
+def out_degree(spark, d):
+    e = stored(parts(spark, d), "edges")
+    return graph.out_degree(e, graph.nodes_of(e))
+
+
+@register("children_of", o.query([o.PART_SEQ], "SELECT src AS id, dst AS child FROM e WHERE src % 10 = 1"))
+def children_of(spark, d):
+    e = stored(parts(spark, d), "edges")
+    return graph.children(e, graph.nodes_of(e).where("id % 10 = 1"))
+
+
+@register("parents_of", o.query([o.PART_SEQ], "SELECT dst AS id, src AS parent FROM e WHERE dst % 10 = 1"))
+def parents_of(spark, d):
+    e = stored(parts(spark, d), "edges")
+    return graph.parents(e, graph.nodes_of(e).where("id % 10 = 1"))
+
+
+@register("only_factor_parents", o.query([o.USER_SEQ, *o.aux("IC2MIX", 3)], "SELECT dst AS node, bool_and(src % 8 > 0) AS gated FROM aux GROUP BY dst"))
+def only_factor_parents(spark, d):
+    return graph.only_factor_parents(build(users(spark, d), "IC2MIX", 3).edges)
+
+
+@register("factor_metadata", o.query([o.USER_SEQ, *o.aux("IC", 5)], "SELECT DISTINCT src AS node, src // 8 AS owner, (src % 8)::INTEGER AS factor FROM aux WHERE src % 8 > 0"))
+def factor_metadata(spark, d):
+    return graph.factor_metadata(build(users(spark, d), "IC", 5).edges)
+
+
+@register(
+    "top_degree_reach",
+    o.query(
+        [*o.sparse(0.03), o.NODES, o.top_out(SEEDS), "reach(r, node) AS (SELECT id, id FROM top UNION SELECT r, dst FROM reach JOIN e ON src = node)"],
+        "SELECT r AS id, COUNT(*) AS reached FROM reach GROUP BY r", True,
+    ),
+)
+def top_degree_reach(spark, d):
+    e = thin_parts(spark, d)
+    return graph.reach_counts(e, baselines.max_degree(e, graph.nodes_of(e), SEEDS))
+
+
+# ---------------------------------------------------------------- expanded graphs and worlds
+
+_AUX_OUT = "SELECT src, dst, round(prob, 9) AS prob FROM aux"
+
+
+def _rounded(e: DataFrame) -> DataFrame:
+    return e.select("src", "dst", F.round("prob", 9).alias("prob"))
+
+
+for _m in MODELS:
+    for _f in (2, 3, 5):
+        register(f"aux_{_m.lower()}_{_f}", o.query([o.USER_SEQ, *o.aux(_m, _f)], _AUX_OUT))(lambda spark, d, m=_m, f=_f: _rounded(build(users(spark, d), m, f).edges))
+    for _f in (2, 3, 5) if _m in ("TRIGGER", "OLO") else ():
+        register(f"node_prob_{_m.lower()}_{_f}", o.query([o.USER_SEQ, *o.aux(_m, _f)], "SELECT node, round(p, 9) AS p FROM np"))(
+            lambda spark, d, m=_m, f=_f: build(users(spark, d), m, f).node_prob.select("node", F.round("p", 9).alias("p"))
+        )
+for _f in (2, 3, 5):
+    register(f"aux_lt_gate_{_f}", o.query([o.USER_SEQ, *o.aux("LT", _f, gate=True)], _AUX_OUT))(
+        lambda spark, d, f=_f: _rounded(build(users(spark, d), "LT", f, parent_gate="factor_aware").edges)
+    )
+
+for _m in MODELS:
+    _f = 3 if _m == "IC2MIX" else 2
+    register(f"world_{_m.lower()}_{_f}", o.query([o.USER_SEQ, *o.aux(_m, _f), *o.live(_m, _f, o.world_range(3))], "SELECT r, src, dst FROM live"))(
+        lambda spark, d, m=_m, f=_f: spread.worlds(held(build(users(spark, d), m, f)), 3)
+    )
+
+
+def _spread(model: str, factors: int, worlds: int) -> Query:
+    def run(spark, d):
+        e = users(spark, d)
+        g = held(build(e, model, factors))
+        return spread.spread_by_world(g, baselines.max_degree(e, g.nodes, SEEDS), worlds)
+
+    return run
+
+
+for _m in MODELS:
+    for _f in (2, 3, 5) if _m in ("IC", "LT", "TRIGGER", "OLO") else (3,):
+        _start = f"SELECT r, id * 8 AS node FROM top CROSS JOIN (SELECT unnest(range({WORLDS})) AS r)"
+        register(
+            f"spread_{_m.lower()}_{_f}",
+            o.query(
+                [o.USER_SEQ, o.NODES, o.top_out(SEEDS), *o.aux(_m, _f), *o.live(_m, _f, o.world_range(WORLDS)), o.forward(_start)],
+                "SELECT r, COUNT(*) AS spread FROM reach WHERE node % 8 = 0 GROUP BY r", True,
+            ),
+        )(_spread(_m, _f, WORLDS))
+
+
+@register("spread_ic_2_relational", ORACLE_SQL["spread_ic_2"])
+def spread_relational(spark, d):
+    e = users(spark, d)
+    g = held(build(e, "IC", 2))
+    return spread.spread_by_world(g, baselines.max_degree(e, g.nodes, SEEDS), WORLDS, strategy="relational")
+
+
+@register("spread_all_factor_3")
+def spread_all_factor(spark, d):
+    e = users(spark, d)
+    g = held(build(e, "IC2MIX", 3, p=0.75, ratio=0.3))
+    return spread.all_factor_spread(g, baselines.max_degree(e, g.nodes, SEEDS), WORLDS)
+
+
+# ---------------------------------------------------------------- reverse-reachable sets
+
+
+def _sampler(spark, d, model: str, factors: int, **args) -> rrsets.Sampler:
+    return rrsets.Sampler(held(build(users(spark, d), model, factors)), **args)
+
+
+for _m in MODELS:
+    _f = 3 if _m.startswith("IC2") else 2
+    register(f"rr_{_m.lower()}_{_f}", o.query([o.USER_SEQ, *o.rr(_m, _f, SETS)], "SELECT rr_id, node FROM rr", True))(
+        lambda spark, d, m=_m, f=_f: _sampler(spark, d, m, f).take(0, SETS)
+    )
+
+
+@register("rr_ic_2_relational", ORACLE_SQL["rr_ic_2"])
+def rr_relational(spark, d):
+    return _sampler(spark, d, "IC", 2, strategy="relational").take(0, SETS)
+
+
+@register("rr_extended", ORACLE_SQL["rr_ic_2"])
+def rr_extended(spark, d):
+    s = _sampler(spark, d, "IC", 2)
+    return s.take(0, SETS // 2).unionByName(s.take(SETS // 2, SETS - SETS // 2))
+
+
+@register(
+    "cover_estimate",
+    o.query([o.USER_SEQ, *o.rr("IC", 2, SETS), o.top_out(3)],
+            f"SELECT COUNT(DISTINCT rr_id) AS covered, COUNT(DISTINCT rr_id) * (SELECT COUNT(*) FROM v)::DOUBLE / {SETS}.0::DOUBLE AS influence FROM rr WHERE node IN (SELECT id FROM top)", True),
+)
+def cover_estimate(spark, d):
+    e = users(spark, d)
+    s = rrsets.Sampler(held(build(e, "IC", 2)))
+    return rrsets.coverage(s.take(0, SETS), baselines.max_degree(e, s.g.nodes, 3), s.n, SETS)
+
+
+@register("candidate_pool", o.query([o.USER_SEQ, *o.rr("IC", 2, SETS)], "SELECT node, COUNT(*) AS count FROM rr GROUP BY node ORDER BY count DESC, node LIMIT 20", True))
+def candidate_pool(spark, d):
+    return rrsets.candidate_pool(_sampler(spark, d, "IC", 2).take(0, SETS), 20)
+
+
+# ---------------------------------------------------------------- selection
+
+
+def _cover_sql(model: str, factors: int, k: int) -> str:
+    ctes, rows = o.cover(k)
+    return o.query([o.USER_SEQ, *o.rr(model, factors, SETS), *ctes], rows, True)
+
+
+def _cover(model: str, factors: int, k: int) -> Query:
+    def run(spark, d):
+        s = _sampler(spark, d, model, factors)
+        return select.greedy_cover(s.take(0, SETS), s.g.nodes, k).table(spark)
+
+    return run
+
+
+for _m, _f in (("IC", 2), ("LT", 2), ("TRIGGER", 2), ("OLO", 3), ("IC2", 3)):
+    register(f"max_cover_{_m.lower()}_{_f}", _cover_sql(_m, _f, 4))(_cover(_m, _f, 4))
+
+_ctes, _rows = o.cover(4)
+
+
+@register(
+    "max_cover_prefix",
+    o.query(
+        [o.USER_SEQ, *o.rr("IC", 2, SETS), *_ctes, f"sel AS ({_rows})"],
+        f"""SELECT k::INTEGER AS k, COALESCE(MAX(covered), 0)::BIGINT AS covered_rr, round(COALESCE(MAX(covered), 0) * ((SELECT COUNT(*) FROM v) / {SETS}.0::DOUBLE), 6) AS self_influence,
+        COALESCE(string_agg(node::VARCHAR, ' ' ORDER BY rank), '') AS seeds FROM (SELECT unnest([0, 1, 2, 4]) AS k) LEFT JOIN sel ON rank <= k GROUP BY k""", True,
+    ),
+)
+def max_cover_prefix(spark, d):
+    s = _sampler(spark, d, "IC", 2)
+    sel = select.greedy_cover(s.take(0, SETS), s.g.nodes, 4).table(spark)
+    return select.prefixes(sel, [4, 2, 0, 1, 2, -3], s.n, SETS).withColumn("self_influence", F.round("self_influence", 6)).withColumn("seeds", F.array_join("seeds", " "))
+
+
+@register(
+    "cover_upper_bound",
+    o.query([o.USER_SEQ, *o.rr("IC", 2, SETS), *o.cover(1)[0],
+             "g0 AS (SELECT COUNT(*) AS c FROM rr GROUP BY node ORDER BY c DESC LIMIT 1)",
+             "g1 AS (SELECT COUNT(*) AS c FROM rr WHERE rr_id NOT IN (SELECT rr_id FROM rr WHERE node IN (SELECT node FROM p1)) GROUP BY node ORDER BY c DESC LIMIT 1)"],
+            "SELECT gain AS covered, (gain + (SELECT SUM(c) FROM g1))::BIGINT AS bound_last, least((SELECT SUM(c) FROM g0), gain + (SELECT SUM(c) FROM g1))::BIGINT AS bound_min FROM p1", True),
+)
+def cover_upper_bound(spark, d):
+    s = _sampler(spark, d, "IC", 2)
+    c = select.greedy_cover(s.take(0, SETS), s.g.nodes, 1, bounds=True)
+    return spark.createDataFrame([(c.covered, int(c.bound_last), int(c.bound_min))], "covered long, bound_last long, bound_min long")
+
+
+@register("max_degree_seeds", o.query([o.PART_SEQ, o.NODES, o.top_out(50)], "SELECT id, degree FROM top"))
+def max_degree_seeds(spark, d):
+    e = stored(parts(spark, d), "edges")
+    return baselines.max_degree(e, graph.nodes_of(e), 50)
+
+
+@register("random_seeds", o.query([o.PART_SEQ, o.NODES], f"SELECT id FROM v ORDER BY {sql_u32('random', 47, 'id')}, id LIMIT 50"))
+def random_seeds(spark, d):
+    return baselines.random_seeds(graph.nodes_of(parts(spark, d)), 50)
+
+
+_reach = "rel(rr_id, node, spot) AS (SELECT id, id, id FROM v UNION SELECT e.dst, rel.node, e.dst FROM rel JOIN e ON e.src = rel.spot)"
+_gw, _gw_rows = o.cover(3, "rel")
+
+
+@register("reach_greedy", o.query([*o.sparse(0.01), o.NODES, _reach, *_gw], _gw_rows, True))
+def reach_greedy(spark, d):
+    e = thin_parts(spark, d, 0.01)
+    return baselines.reach_greedy(e, graph.nodes_of(e), 3).table(spark)
+
+
+_W = 4
+_rel = [
+    f"walk(r, source, node) AS (SELECT r, id * 8, id * 8 FROM v CROSS JOIN (SELECT unnest(range({_W})) AS r) UNION SELECT walk.r, walk.source, live.dst FROM walk JOIN live ON live.r = walk.r AND live.src = walk.node)",
+    "rel AS MATERIALIZED (SELECT r || '|' || node AS rr_id, source // 8 AS node FROM walk WHERE node % 8 = 0)",
+]
+
+
+def _greedy_sql(model: str) -> str:
+    ctes, rows = o.cover(3, "rel")
+    return o.query([o.USER_SEQ, o.NODES, *o.aux(model, 2), *o.live(model, 2, o.world_range(_W)), *_rel, *ctes], rows, True)
+
+
+for _m in ("IC", "LT", "TRIGGER"):
+    for _lazy in (False, True):
+        register(f"{'lazy' if _lazy else 'world'}_greedy_{_m.lower()}_2", _greedy_sql(_m))(
+            lambda spark, d, m=_m, lazy=_lazy: baselines.world_greedy(held(build(users(spark, d), m, 2)), 3, _W, lazy=lazy).table(spark)
+        )
+
+
+@register("world_greedy_all_factor_3")
+def world_greedy_all_factor(spark, d):
+    return baselines.world_greedy(held(build(users(spark, d), "IC2MIX", 3, p=0.75, ratio=0.3)), 2, _W).table(spark)
+
+
+def _facts(spark, **facts) -> DataFrame:
+    return spark.createDataFrame([tuple(facts.values())], list(facts))
+
+
+@register("imm_ic_2")
+def imm_ic(spark, d):
+    r = select.imm(held(build(users(spark, d), "IC", 2)), 3, eps=0.5, max_theta=4000)
+    return _facts(spark, seeds=r.cover.seeds, theta=r.theta, lower=r.lower, influence=r.influence)
+
+
+@register("opim_ic_2")
+def opim_ic(spark, d):
+    r = select.opim(held(build(users(spark, d), "IC", 2)), 3, 4000)
+    return _facts(spark, seeds=r.cover.seeds, sets=r.sets, ratio=r.ratio, influence=float(r.influence))
+
+
+@register("opimc_ic_2")
+def opimc_ic(spark, d):
+    r = select.opimc(held(build(users(spark, d), "IC", 2)), 3, eps=0.4)
+    return _facts(spark, seeds=r.cover.seeds, sets=r.sets, ratio=r.ratio, influence=float(r.influence), accepted=r.accepted)
+
+
+@register("opimc_prefix_ic_3")
+def opimc_prefix(spark, d):
+    return select.opimc_prefix(held(build(users(spark, d), "IC", 3)), [1, 2, 4], total=2000)[1]
+
+
+@register("stopping_rule_ic_2")
+def stopping_rule(spark, d):
+    e = users(spark, d)
+    s = rrsets.Sampler(held(build(e, "IC", 2)))
+    estimate, sets = rrsets.stopping_rule(s, [r.id for r in baselines.max_degree(e, s.g.nodes, 3).collect()], eps=0.2)
+    return _facts(spark, influence=estimate, sets=sets)
+
+
+@register("stateful_samples_3")
+def stateful_samples(spark, d):
+    return _sampler_mix(spark, d).uses(0, SETS)
+
+
+def _sampler_mix(spark, d) -> rrsets.Sampler:
+    return rrsets.Sampler(held(build(users(spark, d), "IC2MIX", 3, p=0.75, ratio=0.3)))
+
+
+@register("all_factor_greedy_3")
+def all_factor_greedy(spark, d):
+    return select.all_factor_greedy(held(build(users(spark, d), "IC2MIX", 3, p=0.75, ratio=0.3)), 3, SETS)[0].table(spark)
+
+
+# ---------------------------------------------------------------- social
+
+
+def social_tables(spark, d):
+    """users, interactions, vertices and seeds derived from the event stream."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    ids = F.col("user_id").cast("string")
+    u = events.groupBy(ids.alias("user_id")).agg(F.array_sort(F.collect_set("event_type")).alias("user_interests"))
+    u = u.select("user_id", (u32("followers", 1, F.col("user_id")) % 200_000).alias("user_followers"), F.filter("user_interests", lambda x: u32("likes", 1, F.col("user_id"), x) < TWO32 / 4).alias("user_interests"))
+    u = stored(u, "users")
+    e = users(spark, d)
+    inter = e.select(F.col("src").cast("string").alias("user_id"), F.col("dst").cast("string").alias("interact_id"))
+    vertices = u.select("user_id", F.col("user_id").cast("long").alias("vertex"))
+    seeds = u.where(u32("seed", 1, F.col("user_id")) < TWO32 / 2).select("user_id")
+    return u, inter, vertices, seeds
+
+
+_SOCIAL = [
+    o.USER_SEQ,
+    f"""u AS (SELECT user_id, {sql_u32('followers', 1, 'user_id')} % 200000 AS user_followers,
+      list_filter(ints, lambda x: {sql_u32('likes', 1, 'user_id', 'x')} < {TWO32 / 4!r}) AS user_interests
+      FROM (SELECT user_id::VARCHAR AS user_id, list(DISTINCT event_type) AS ints FROM events GROUP BY 1))""",
+    f"s AS (SELECT user_id FROM u WHERE {sql_u32('seed', 1, 'user_id')} < {TWO32 / 2!r})",
+    f"""sel AS MATERIALIZED (SELECT a AS user_id, b AS interact_id FROM (SELECT a, b, user_followers, ROW_NUMBER() OVER (PARTITION BY a, user_followers > 100000 ORDER BY {sql_u32('interact', 48, 'a', 'b')}, b) AS n
+      FROM (SELECT src::VARCHAR AS a, dst::VARCHAR AS b FROM e) JOIN u ON u.user_id = b WHERE a IN (SELECT user_id FROM s)) WHERE user_followers > 100000 OR n <= 100 OR b IN (SELECT user_id FROM s))""",
+    """tie AS (SELECT user_id::BIGINT AS a, interact_id::BIGINT AS b, 1 AS f FROM sel UNION
+      SELECT unnest([a, b]), unnest([b, a]), 2 FROM (SELECT sel.user_id::BIGINT AS a, interact_id::BIGINT AS b FROM sel JOIN u x ON x.user_id = sel.user_id JOIN u y ON y.user_id = interact_id
+      WHERE sel.user_id <> interact_id AND list_has_any(x.user_interests, y.user_interests)))""",
+    "ge AS MATERIALIZED (SELECT a * 8 AS src, b * 8 + f AS dst FROM tie UNION SELECT b * 8 + f, b * 8 FROM tie)",
+    "gn AS (SELECT DISTINCT unnest([a, b]) * 8 AS node FROM tie WHERE f = 1 UNION SELECT DISTINCT b * 8 + f FROM tie)",
+]
+
+
+def social_graph(spark, d) -> social.SocialGraph:
+    u, inter, vertices, seeds = social_tables(spark, d)
+    g = social.factor_graph(u, stored(social.selected_interactions(u, inter, seeds), "selected"), vertices)
+    return social.SocialGraph(stored(g.nodes, "nodes"), stored(g.edges, "edges"))
+
+
+@register("social_selected", o.query(_SOCIAL, "SELECT user_id, interact_id FROM sel"))
+def social_selected(spark, d):
+    u, inter, _, seeds = social_tables(spark, d)
+    return social.selected_interactions(u, inter, seeds)
+
+
+@register("social_edges", o.query(_SOCIAL, "SELECT src, dst, 1.0::DOUBLE AS weight FROM ge"))
+def social_edges(spark, d):
+    return social_graph(spark, d).edges
+
+
+@register(
+    "social_nodes",
+    o.query(_SOCIAL, """SELECT node, CASE WHEN node % 8 = 0 THEN 'user' ELSE 'factor' END AS node_type, CASE node % 8 WHEN 1 THEN 'interaction' WHEN 2 THEN 'interest' END AS factor_type,
+      CASE WHEN node % 8 > 0 THEN node // 8 END AS target, (SELECT string_agg(a::VARCHAR, ' ' ORDER BY a) FROM tie WHERE b = node // 8 AND f = node % 8 AND node % 8 > 0) AS sources FROM gn"""),
+)
+def social_nodes(spark, d):
+    return social_graph(spark, d).nodes.withColumn("sources", F.array_join("sources", " "))
+
+
+@register("social_degree_scores", o.query(_SOCIAL, "SELECT node, round(COUNT(*)::DOUBLE / ((SELECT COUNT(*) FROM gn) - 1), 9) AS score FROM (SELECT unnest([src, dst]) AS node FROM ge) GROUP BY node"))
+def social_degree_scores(spark, d):
+    g = social_graph(spark, d)
+    return social.degree_score(g.nodes.select("node"), g.edges).select("node", F.round("score", 9).alias("score"))
+
+
+@register("social_pi_scores", o.query(_SOCIAL, "SELECT src AS node, COUNT(*)::DOUBLE AS score FROM ge GROUP BY src"))
+def social_pi_scores(spark, d):
+    g = social_graph(spark, d)
+    return social.pi_score(g.nodes.select("node"), g.edges)
+
+
+_x = ["x0 AS (SELECT node, 1.0::DOUBLE AS x FROM gn)"] + [
+    f"x{i} AS MATERIALIZED (SELECT a.node, a.x + COALESCE(m, 0) AS x FROM x{i - 1} a LEFT JOIN (SELECT src, SUM(x) AS m FROM ge JOIN x{i - 1} ON node = dst GROUP BY src) ON src = a.node)" for i in range(1, 6)
+]
+
+
+@register("social_sigma_scores", o.query([*_SOCIAL, *_x], "SELECT node, x AS score FROM x5"))
+def social_sigma_scores(spark, d):
+    g = social_graph(spark, d)
+    return social.sigma_score(g.nodes.select("node"), g.edges)
+
+
+@register(
+    "social_spread_ic",
+    o.query([*_SOCIAL, "st AS (SELECT node FROM gn WHERE node % 8 = 0 ORDER BY node LIMIT 3)",
+             "hop(node, h) AS (SELECT node, 0 FROM st UNION SELECT dst, h + 1 FROM hop JOIN ge ON src = node WHERE h < 4)"],
+            "SELECT 0::BIGINT AS candidate, COUNT(DISTINCT node)::DOUBLE AS spread FROM hop WHERE node % 8 = 0", True),
+)
+def social_spread_ic(spark, d):
+    g = social_graph(spark, d)
+    first = [r.node >> 3 for r in g.nodes.where("node_type = 'user'").orderBy("node").limit(3).collect()]
+    return social.user_spread(g, [first], 5)
+
+
+def _picks(spark, rows) -> DataFrame:
+    return spark.createDataFrame([(k, int(v), float(s)) for k, (v, s) in enumerate(rows, 1)], "rank int, vertex long, score double")
+
+
+for _name, _f in (("degree", social.degree_seeds), ("pi", social.pi_seeds), ("sigma", social.sigma_seeds), ("eigen", social.eigen_seeds), ("ris", social.ris_seeds)):
+    register(f"social_{_name}_seeds")(lambda spark, d, f=_f: _picks(spark, f(social_graph(spark, d), 2)))
+for _name, _f in (("greedy", social.greedy_seeds), ("celf", social.celf_seeds), ("celfpp", social.celfpp_seeds)):
+    register(f"social_{_name}_seeds")(lambda spark, d, f=_f: _picks(spark, f(social_graph(spark, d), 2, 3)))
+
+
+@register("social_spread_lt")
+def social_spread_lt(spark, d):
+    g = social_graph(spark, d)
+    first = [r.node >> 3 for r in g.nodes.where("node_type = 'user'").orderBy("node").limit(3).collect()]
+    return social.user_spread(g, [first], 20, "LT")
+
+
+# ---------------------------------------------------------------- experiments and outputs
+
+
+@register("experiment_wide")
+def experiment_wide(spark, d):
+    return wide(run_experiment(users(spark, d), ["MaxDegree", "Random", "MF-RR"], [0, 2, 4], "MFIC", 2, worlds=20, theta=400))
+
+
+def _folder(spark) -> str:
+    import uuid
+
+    return f"{shared_folder(spark)}/ripplework/{uuid.uuid4().hex}"
+
+
+@register("graph_saved", ORACLE_SQL["aux_ic_2"])
+def graph_saved(spark, d):
+    path = _folder(spark)
+    sinks.save_graph(build(users(spark, d), "IC", 2), path)
+    return _rounded(sinks.load_graph(spark, path).edges)
+
+
+@register("graph_text", ORACLE_SQL["aux_ic_2"].replace("round(prob, 9)", "round(prob, 6)"))
+def graph_text(spark, d):
+    path = _folder(spark)
+    sinks.write_graph_text(build(users(spark, d), "IC", 2), path)
+    return src.read_weighted(spark, f"{path}/edges").select("src", "dst", F.round("prob", 6).alias("prob"))
