@@ -82,11 +82,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
             for part in slices(batch):
                 out = step(part.to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, target)
 
 
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:

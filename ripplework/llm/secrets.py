@@ -22,7 +22,7 @@ import random
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,8 +96,6 @@ def count_pairs(docs: DataFrame) -> DataFrame:
     """cell, ordinary, random: summed over all documents."""
 
     def run(batches):
-        import pyarrow as pa
-
         weights = np.zeros((2, SIZE * SIZE), np.int64)
         for batch in batches:
             for text in batch.column(0):
@@ -194,10 +192,10 @@ def mask_documents(docs: DataFrame) -> DataFrame:
     """All documents, with secrets masked in their texts and n_chars counted anew."""
     table = train(docs)
 
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([masked(t, table) for t in texts], dtype=object)
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array((masked(t.as_py(), table) for t in texts), pa.string())
 
-    mask: Column = F.pandas_udf(run, "string").asNondeterministic()(F.col("text"))
+    mask: Column = F.arrow_udf(run, "string").asNondeterministic()(F.col("text"))
     out = docs.withColumn("text", mask)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)))

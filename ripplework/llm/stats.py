@@ -9,7 +9,7 @@ import math
 import re
 from collections import Counter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,7 +88,10 @@ _TYPES = ", ".join(f"{c} {t}" for names, t in ((BASE, "long"), (RATIOS, "double"
 def measured(text: Column) -> Column:
     """A struct of BASE and RATIOS beside the row, which itself does not go to Python."""
 
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t) for t in texts], columns=[*BASE, *RATIOS])
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [measure(t.as_py()) for t in texts]
+        columns_ = list(zip(*rows)) or [()] * len((*BASE, *RATIOS))
+        arrays = [pa.array(c, pa.int64() if k < len(BASE) else pa.float64()) for k, c in enumerate(columns_)]
+        return pa.StructArray.from_arrays(arrays, [*BASE, *RATIOS])
 
-    return F.pandas_udf(run, _TYPES).asNondeterministic()(text)
+    return F.arrow_udf(run, _TYPES).asNondeterministic()(text)
