@@ -24,7 +24,7 @@ import json
 import os
 import re
 import sys
-from itertools import chain
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -118,7 +118,8 @@ class Codec:
         self.young: dict[str, np.ndarray] = {}
         self.old: dict[str, np.ndarray] = {}
         self.held = 0
-        self.words: dict[str, list[int]] = {}
+        #: words and their tokens as bytes of 32-bit integers, which join without boxing
+        self.words: dict[str, bytes] = {}
 
     def encode_new(self, pieces: list[str]) -> list[np.ndarray]:
         """Ids of pieces that the store lacks: Latin ones word by word, with the words' tokens
@@ -126,12 +127,12 @@ class Codec:
         if len(self.words) > STORE_WORDS:
             self.words.clear()
         split = [None if _BEYOND_LATIN.search(p) else _LATIN_WORD.findall(p) for p in pieces]
-        unknown = list(set(chain.from_iterable(w for w in split if w is not None)).difference(self.words))
+        unknown = list(set().union(*(w for w in split if w is not None)).difference(self.words))
         for w, e in zip(unknown, self.tok.encode_batch_fast(unknown, add_special_tokens=False)):
-            self.words[w] = e.ids
+            self.words[w] = array("I", e.ids).tobytes()
         rest = iter(self.tok.encode_batch_fast([p for p, w in zip(pieces, split) if w is None], add_special_tokens=False))
         known = self.words.__getitem__
-        return [np.array(next(rest).ids if w is None else list(chain.from_iterable(map(known, w))), np.uint32) for w in split]
+        return [np.array(next(rest).ids, np.uint32) if w is None else np.frombuffer(b"".join(map(known, w)), np.uint32) for w in split]
 
     def known(self, piece: str) -> np.ndarray | None:
         ids = self.young.get(piece)
