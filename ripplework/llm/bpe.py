@@ -35,9 +35,9 @@ WINDOW = 16
 #: A cut comes after about so many code points, and no chunk has more than ``LONGEST``.
 MEAN, LONGEST = 512, 8192
 #: Characters of chunks that one generation of a worker's store holds.
-STORE_CHARS = 12_000_000
+STORE_CHARS = 4_000_000
 #: Words that a worker remembers with their tokens.
-STORE_WORDS = 300_000
+STORE_WORDS = 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 #: White space by Unicode, beyond the control characters and the space.

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -82,7 +83,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
             for part in slices(batch):
                 out = step(part.to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
-        pa.default_memory_pool().release_unused()
+        free_memory()
 
     return df.mapInArrow(run, target)
 
@@ -90,6 +91,15 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
 SLICE_BYTES = 4 << 20
 
 
+def free_memory() -> None:
+    """Give what is free back to the system, so that idle workers hold little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # a C library without it
+
+
 def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in parts of about ``SLICE_BYTES`` (one row at least)."""
     n = batch.num_rows

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, columns, map_rows
+from .common import WORD, columns, free_memory, map_rows
 
 _WORD = re.compile(WORD)
 #: The characters that count as symbols.
@@ -90,6 +90,7 @@ def measured(text: Column) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         rows = [measure(t.as_py()) for t in texts]
+        free_memory()
         columns_ = list(zip(*rows)) or [()] * len((*BASE, *RATIOS))
         arrays = [pa.array(c, pa.int64() if k < len(BASE) else pa.float64()) for k, c in enumerate(columns_)]
         return pa.StructArray.from_arrays(arrays, [*BASE, *RATIOS])
