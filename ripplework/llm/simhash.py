@@ -127,6 +127,11 @@ def anchored(fps: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- comparing
 
 
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits; unsigned, since numpy counts the bits of a signed number's magnitude."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
 def forest(fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray]:
     """Edges (member, root) that connect exactly what links among ``fp`` connect."""
     rest = np.unique(fp)
@@ -135,7 +140,7 @@ def forest(fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.nda
         root, front, rest = rest[0], rest[:1], rest[1:]
         while len(front) and len(rest):
             x, front = front[0], front[1:]
-            near = np.bitwise_count(rest ^ x) <= distance
+            near = apart(rest, x) <= distance
             if near.any():
                 found = rest[near]
                 members.append(found)
@@ -158,7 +163,7 @@ def compare_sorted(key: np.ndarray, fp: np.ndarray, distance: int, chunk: int):
     for lag in range(1, few):
         if len(k) <= lag:
             break
-        hit = (k[lag:] == k[:-lag]) & (np.bitwise_count(f[lag:] ^ f[:-lag]) <= distance)
+        hit = (k[lag:] == k[:-lag]) & (apart(f[lag:], f[:-lag]) <= distance)
         left.append(f[lag:][hit])
         right.append(f[:-lag][hit])
     for at, n in zip(starts[sizes > few], sizes[sizes > few]):
