@@ -4,7 +4,8 @@ Fingerprints: words, word shingles, the 64-bit XXH64 (seed 42) of each shingle;
 set if it is set in more than half of the shingles' hashes.
 
 Links at ``distance`` 3 or fewer: of two linked fingerprints, at least one 32-bit half
-differs in at most one bit.  The anchors of a half are a covering code with radius 1: the
+differs in at most one bit.  (Up to 5 would do: both halves' owners reach the anchor next to
+the point midway between two halves that differ in two bits.)  The anchors of a half are a covering code with radius 1: the
 perfect Hamming code of length 31 beside one free bit, 2^27 anchors.  A half is replicated
 to every anchor within covering radius plus that one bit, so two halves that differ in at
 most one bit meet at the nearest anchor of either.  That is 16.5 anchors on average,
@@ -259,7 +260,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         release(e)
         e = new
         if seen == tuple(mark):
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots = e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         seen = tuple(mark)
     raise RuntimeError("components did not settle")
 
@@ -284,17 +286,114 @@ def cluster_table(docs: DataFrame) -> DataFrame:
     return cluster(docs).select("doc_id", hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-def dedup_documents(docs: DataFrame, size: int = 5, distance: int = DISTANCE, chunk: int = CHUNK) -> DataFrame:
-    """One document of each component stays (that of the smallest doc_id, and of rows that
-    repeat it the first stored), with the columns of ``docs``.
+# ---------------------------------------------------------------- documents
+
+#: Independent fingerprints of a document's word set, and the distance that always meets.
+PRINTS, REACH = 3, 5
+WORDS, SIMILARITY = 5, 0.8
+#: Rows up to which a set of row numbers is broadcast (8 bytes each).
+BROADCAST_ROWS = 2_000_000
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def word_set_prints(text: str | None, prints: int = PRINTS) -> tuple[int, int, list[int]]:
+    """Two keys of the lower-cased word sequence, and fingerprints of the set of its words.
+
+    A changed word changes five 5-word shingles but one word, so near copies whose shingle
+    fingerprints differ in ten bits differ in two or three here; links are only candidates.
+    """
+    words = _WORD.findall((text or "").translate(_LOWER))
+    line = " ".join(words)
+    keys = [int(np.uint64(xxhash.xxh64_intdigest(line, k)).astype(np.int64)) for k in (1, 2)]
+    if not words:
+        return *keys, [0] * prints
+    h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(words)], np.uint64)
+    out = []
+    with np.errstate(over="ignore"):
+        for m in _MIX[:prints]:
+            x = (h ^ (h >> np.uint64(31))) * m
+            x ^= x >> np.uint64(29)
+            bits = np.unpackbits((x * _MIX[0]).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+            out.append(int(np.packbits(2 * bits > len(h)).view(">i8")[0]))
+    return *keys, out
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, SEED) for x in shingles(text, size)], np.uint64)).view(np.int64)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Broadcast a slim table if a count shows that it is small; else Spark joins by shuffle."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def near_copies(numbered: DataFrame, size: int = WORDS, similarity: float = SIMILARITY, prints: int = PRINTS, chunk: int = CHUNK) -> DataFrame:
+    """__row, root for rows of ``numbered(__row, text)``; rows of one group have one root.
+
+    Rows with the same words in order are one node.  Candidates come from anchor-point
+    covering of each of ``prints`` fingerprints at distance ``REACH``; each is then checked
+    exactly by the similarity of its sets of ``size``-word shingles, and groups are what the
+    checked links connect.
+    """
+
+    def make():
+        def step(x: dict) -> dict:
+            every = [word_set_prints(t, prints) for t in x["text"]]
+            return {"__row": x["__row"], "k1": [e[0] for e in every], "k2": [e[1] for e in every], **{f"f{i}": [e[2][i] for e in every] for i in range(prints)}}
+
+        return step
+
+    fs = [f"f{i}" for i in range(prints)]
+    keyed = materialize(map_rows(columns(numbered, "__row", "text"), make, "__row long, k1 long, k2 long, " + ", ".join(f"{f} long" for f in fs)), "word_prints")
+    nodes = materialize(keyed.groupBy("k1", "k2").agg(F.min("__row").alias("node"), *(F.min(f).alias(f) for f in fs)), "nodes")
+    found = None
+    for f in fs:
+        reps = materialize(nodes.groupBy(f).agg(F.min("node").alias("rep")), "reps")
+        e = links(reps.select(F.col(f).alias("fp")), REACH, chunk)
+        e = e.join(reps.select(F.col(f).alias("a"), F.col("rep").alias("x")), "a").join(reps.select(F.col(f).alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
+        same = nodes.join(reps, f).where("node <> rep").select(F.col("node").alias("x"), F.col("rep").alias("y"))
+        e = e.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        found = e if found is None else found.unionByName(e)
+    found = materialize(found.distinct(), "candidates")
+    wanted = materialize(found.select(F.explode(F.array("a", "b")).alias("__row")).distinct(), "wanted")
+
+    def sets():
+        return lambda x: {"__row": x["__row"], "hashes": [shingle_set(t, size) for t in x["text"]]}
+
+    some = columns(numbered, "__row", "text").join(_few(wanted), "__row", "left_semi")
+    held = materialize(map_rows(some, sets, "__row long, hashes array<long>"), "shingle_sets")
+
+    def check(batches):
+        for b in batches:
+            keep = [jaccard(np.array(x.as_py(), np.int64), np.array(y.as_py(), np.int64)) >= similarity for x, y in zip(b.column("x"), b.column("y"))]
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = found.join(held.select(F.col("__row").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("__row").alias("b"), F.col("hashes").alias("y")), "b")
+    near = materialize(pairs.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "near")
+    roots = components(near).withColumnRenamed("root", "__root")
+    named = nodes.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("__root", "node").alias("root"))
+    return materialize(keyed.select("__row", "k1", "k2").join(named, ["k1", "k2"]).select("__row", "root"), "roots")
+
+
+def dedup_documents(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY, prints: int = PRINTS, chunk: int = CHUNK) -> DataFrame:
+    """One document of each group of near copies stays (that of the smallest doc_id, and of
+    rows that repeat it the first stored), with the columns of ``docs``.
 
     Rows are numbered in a stored copy, so null and repeated doc_ids need no special care; the
-    rows that go are found from slim tables and taken out by an anti-join on the number.
+    rows that go are found from slim tables and taken out by an anti-join on the number, which
+    leaves the texts where they are while those rows are few enough to broadcast.
     """
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = cluster(numbered.select(F.col("__row").alias("doc_id"), "text"), size, distance, chunk)
-    order = numbered.select("__row", F.struct(F.col("doc_id").isNull(), "doc_id", "__row").alias("__order"))
-    rows = materialize(found.select(F.col("doc_id").alias("__row"), "component_id").join(order, "__row"), "ordered")
-    stay = rows.groupBy("component_id").agg(F.min("__order").alias("first")).select(F.col("first.__row").alias("__keep"))
-    gone = rows.join(stay, F.col("__row") == F.col("__keep"), "left_anti").select("__row")
-    return numbered.join(gone, "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    found = near_copies(numbered, size, similarity, prints, chunk)
+    order = numbered.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("__order"))
+    rows = materialize(found.join(order, "__row"), "ordered")
+    stay = rows.groupBy("root").agg(F.min("__order").alias("first")).select(F.col("first.__row").alias("__keep"))
+    gone = materialize(rows.join(stay, F.col("__row") == F.col("__keep"), "left_anti").select("__row"), "gone")
+    return numbered.join(_few(gone), "__row", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
