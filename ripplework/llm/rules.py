@@ -2,8 +2,8 @@
 
 A rule is a conjunction of thresholds on statistics.  It is grown on two thirds of the
 labelled rows by information gain until it covers rejected rows only, pruned on the other
-third to the prefix with the best (p - n) / (p + n), and kept if it is precise there; the
-rows it covers are taken out and the next one is learned.  The list becomes one ordered
+third to the prefix with the best (p - n) / (p + n), and kept if it is precise; the rows it
+covers are taken out and the next one is learned.  The list becomes one ordered
 Spark conditional expression, so that applying it needs no Python.
 
 Learning uses at most ``SAMPLE`` labelled rows (those that come first by a hash of doc_id);
@@ -29,9 +29,9 @@ from .stats import BASE, RATIOS, measured, stat_table
 
 SAMPLE = 60_000
 MAX_RULES, MAX_CONDITIONS = 24, 4
-#: A rule must reach this share of rejected rows among what it covers, on both parts.
+#: A rule must reach this share of rejected rows among all it covers
 PRECISION = 0.97
-#: and cover so many rejected rows while it is grown.
+#: and cover so many rejected rows.
 LEAST = 5
 THRESHOLDS = 48
 
@@ -95,30 +95,34 @@ def grow(x: np.ndarray, bad: np.ndarray, names: tuple[str, ...]) -> Rule:
     return tuple(rule)
 
 
-def prune(rule: Rule, x: np.ndarray, bad: np.ndarray, names: tuple[str, ...]) -> tuple[Rule, float, int]:
-    """The prefix with the best worth on rows it was not grown on; its precision and cover."""
-    best, worth, found = (), -2.0, (0.0, 0)
+def prune(rule: Rule, x: np.ndarray, bad: np.ndarray, fold: np.ndarray, names: tuple[str, ...]) -> tuple[Rule, float]:
+    """The prefix with the best worth on the rows it was not grown on (``fold``), and on all
+    rows if that ties; and its precision over all rows."""
+    best, worth, precision = (), (-2.0, -2.0), 0.0
     for n in range(1, len(rule) + 1):
         hit = covers(rule[:n], x, names)
-        p, n_ = int((hit & bad).sum()), int((hit & ~bad).sum())
-        w = (p - n_) / (p + n_) if p + n_ else -1.0
+        w = tuple(_worth(hit & part, bad) for part in (fold, np.ones(len(x), bool)))
         if w > worth:
-            best, worth, found = rule[:n], w, ((p / (p + n_)) if p + n_ else 0.0, p)
-    return best, *found
+            best, worth, precision = rule[:n], w, (w[1] + 1) / 2
+    return best, precision
+
+
+def _worth(hit: np.ndarray, bad: np.ndarray) -> float:
+    """(p - n) / (p + n) of the rows that a rule covers."""
+    p, n = int((hit & bad).sum()), int((hit & ~bad).sum())
+    return (p - n) / (p + n) if p + n else -1.0
 
 
 def learn(x: np.ndarray, bad: np.ndarray, fold: np.ndarray, names: tuple[str, ...] = RATIOS) -> list[Rule]:
     """Ordered rules that reject; ``fold`` is true for rows to prune on."""
-    gx, gb, px, pb = x[~fold], bad[~fold], x[fold], bad[fold]
     rules: list[Rule] = []
-    while len(rules) < MAX_RULES and gb.sum() >= LEAST:
-        rule, precision, _ = prune(grow(gx, gb, names), px, pb, names)
-        hit = covers(rule, gx, names) if rule else np.zeros(len(gx), bool)
-        if not rule or precision < PRECISION or not (hit & gb).any() or (hit & gb).sum() < PRECISION * hit.sum():
+    while len(rules) < MAX_RULES and (bad & ~fold).sum() >= LEAST:
+        rule, precision = prune(grow(x[~fold], bad[~fold], names), x, bad, fold, names)
+        hit = covers(rule, x, names) if rule else np.zeros(len(x), bool)
+        if precision < PRECISION or (hit & bad).sum() < LEAST:
             break
         rules.append(rule)
-        keep = covers(rule, px, names)
-        gx, gb, px, pb = gx[~hit], gb[~hit], px[~keep], pb[~keep]
+        x, bad, fold = x[~hit], bad[~hit], fold[~hit]
     return rules
 
 
