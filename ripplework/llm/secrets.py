@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_rows
+from .common import columns, free_memory, map_rows
 
 # The patterns that the scan must find, and the least lengths.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -40,6 +40,10 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 SIZE = len(ALPHABET) + 1
 SYNTHETIC, SEED = 20_000, 42
+#: Counts taken off each ordinary pair: a fixed one and a share of all pairs.
+NOISE, NOISE_SHARE = 3.0, 2e-6
+#: Weight of characters alone against pairs of characters.
+BACK_OFF = 5.0
 #: A run is taken if its log-likelihood ratio is above this: prior odds of one in a million.
 LEAST_RATIO = math.log(1e6)
 
@@ -116,9 +120,15 @@ def train(docs: DataFrame) -> np.ndarray:
     for s in synthetic():
         c = codes(" " + s)
         weights[1] += np.bincount(c[:-1] * SIZE + c[1:], minlength=SIZE * SIZE)
-    p = np.log((weights + 1.0).reshape(2, SIZE, SIZE))
-    p -= np.log((weights + 1.0).reshape(2, SIZE, SIZE).sum(2, keepdims=True))
-    return (p[1] - p[0]).astype(np.float64)
+    n = weights.reshape(2, SIZE, SIZE).astype(np.float64)
+    # unknown secrets sit among the ordinary runs: pairs that are rare there are not believed
+    n[0] = np.maximum(0.0, n[0] - NOISE - NOISE_SHARE * n[0].sum())
+    # characters after others, backed off to characters alone, so that a letter which
+    # ordinary text never shows is unlikely after any other
+    alone = n.sum(1, keepdims=True) + 0.5
+    alone /= alone.sum(2, keepdims=True)
+    p = np.log((n + BACK_OFF * alone) / (n.sum(2, keepdims=True) + BACK_OFF))
+    return p[1] - p[0]
 
 
 def ratio(run: str, table: np.ndarray) -> float:
@@ -193,7 +203,9 @@ def mask_documents(docs: DataFrame) -> DataFrame:
     table = train(docs)
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array((masked(t.as_py(), table) for t in texts), pa.string())
+        out = pa.array((masked(t.as_py(), table) for t in texts), pa.string())
+        free_memory()
+        return out
 
     mask: Column = F.arrow_udf(run, "string").asNondeterministic()(F.col("text"))
     out = docs.withColumn("text", mask)
