@@ -264,7 +264,7 @@ def lace(frames: list[bytes], kind: str) -> tuple[int, bytes]:
         return 4, head + b"".join(frames)
     if kind == "xiph":
         return 2, head + b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1]) + b"".join(frames)
-    marks = size_vint(sizes[0])
+    marks = size_vint(sizes[0]) if len(sizes) > 1 else b""
     for before, n in zip(sizes, sizes[1:-1]):
         d = n - before
         width = next(w for w in range(1, 9) if abs(d) < (1 << 7 * w - 1))
