@@ -7,11 +7,14 @@ the engine.  An event of probability p happens if draw < p * 2^32.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+try:
+    from _md5 import md5  # the interpreter's own starts faster on short keys
+except ImportError:
+    from hashlib import md5
+
 TWO32 = 4294967296.0
 
 
@@ -36,4 +39,4 @@ def sql_uniform(purpose: str, seed: int, *keys: str) -> str:
 
 def draw(text: str) -> int:
     """The same for ``purpose|seed|key|...`` in Python."""
-    return int.from_bytes(hashlib.md5(text.encode()).digest()[:4], "big")
+    return int.from_bytes(md5(text.encode()).digest()[:4], "big")
