@@ -377,6 +377,16 @@ def opimc_prefix(spark, d):
     return select.opimc_prefix(held(build(users(spark, d), "IC", 3)), [1, 2, 4], total=2000)[1]
 
 
+@register("opim_prefix_lt_2")
+def opim_prefix(spark, d):
+    return select.opim_prefix(held(build(users(spark, d), "LT", 2)), [0, 1, 3], 2000)[1]
+
+
+@register("imm_prefix_trigger_2")
+def imm_prefix(spark, d):
+    return select.imm_prefix(held(build(users(spark, d), "TRIGGER", 2)), [1, 3], eps=0.5, max_theta=2000)[1]
+
+
 @register("stopping_rule_ic_2")
 def stopping_rule(spark, d):
     e = users(spark, d)

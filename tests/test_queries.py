@@ -33,6 +33,6 @@ def test_every_oracle_has_a_query():
     assert set(registry.QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["imm_ic_2", "opim_ic_2", "opimc_prefix_ic_3", "stopping_rule_ic_2", "all_factor_greedy_3", "social_eigen_seeds", "social_ris_seeds", "social_celf_seeds", "experiment_wide", "world_greedy_all_factor_3"])
+@pytest.mark.parametrize("name", ["imm_ic_2", "opim_ic_2", "opimc_prefix_ic_3", "opim_prefix_lt_2", "imm_prefix_trigger_2", "stopping_rule_ic_2", "all_factor_greedy_3", "social_eigen_seeds", "social_ris_seeds", "social_celf_seeds", "experiment_wide", "world_greedy_all_factor_3"])
 def test_rows_only(spark, sf, name):
     assert registry.QUERIES[name](spark, sf).count() > 0
