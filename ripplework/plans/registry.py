@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplework.functions.keyed import TWO32, sql_u32, u32
-from ripplework.functions.scratch import shared_folder, stored
+from ripplework.functions.scratch import own_folder, stored
 from ripplework.operators import baselines, graph, rrsets, select, social, spread
 from ripplework.operators.aux_graph import AuxGraph, build
 from ripplework.operators.experiment import run_experiment, wide
@@ -531,7 +531,7 @@ def experiment_wide(spark, d):
 def _folder(spark) -> str:
     import uuid
 
-    return f"{shared_folder(spark)}/ripplework/{uuid.uuid4().hex}"
+    return f"{own_folder(spark)}/{uuid.uuid4().hex}"
 
 
 @register("graph_saved", ORACLE_SQL["aux_ic_2"])
