@@ -44,7 +44,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     number of later jobs share the result.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/ripplework/{uuid.uuid4().hex}/{name}"
+    path = f"{scratch_root(spark)}/ripplework-llm/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -60,6 +60,12 @@ def release(df: DataFrame) -> None:
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p.getParent(), True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application stored; call it when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/ripplework-llm/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def columns(df: DataFrame, *names: str) -> DataFrame:
     """Only these columns, so that a clashing name in an extra column can do no harm."""
     return df.select(*(F.col(f"`{n}`") for n in names))
