@@ -78,6 +78,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
     Memory is bounded by one Arrow batch; batches are cut again by ``SLICE_BYTES`` so that a
     run of very long texts does not become one huge Python list.
     """
+    small_batches(df.sparkSession)
     target = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -97,6 +98,18 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema:
 SLICE_BYTES = 4 << 20
 
 
+#: Sizes of batches to Python where the session sets none: whole texts are long, and the
+#: JVM and the worker of a task each hold a batch.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the session's batch sizes, unless they have been set already."""
+    for key, size in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, size)
+
+
 def free_memory() -> None:
     """Give what is free back to the system, so that idle workers hold little."""
     pa.default_memory_pool().release_unused()

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, map_rows
+from .common import columns, map_rows, small_batches
 
 N = 4
 SHARE = 2e-5
@@ -82,6 +82,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                         held, size = {}, 0
         yield from out(held)
 
+    small_batches(docs.sparkSession)
     known = columns(docs, "lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
     return known.mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, free_memory, map_rows
+from .common import columns, free_memory, map_rows, small_batches
 
 # The patterns that the scan must find, and the least lengths.
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII | re.IGNORECASE)
@@ -108,6 +108,7 @@ def count_pairs(docs: DataFrame) -> DataFrame:
         cell = np.flatnonzero(weights.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(weights[0, cell]), pa.array(weights[1, cell])], names=["cell", "ordinary", "random"])
 
+    small_batches(docs.sparkSession)
     rows = columns(docs, "text").mapInArrow(run, "cell long, ordinary long, random long")
     return rows.groupBy("cell").agg(F.sum("ordinary").alias("ordinary"), F.sum("random").alias("random"))
 
