@@ -29,6 +29,7 @@ doc_id at all has a null name; an empty table gives no rows; extra columns are i
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, columns, map_rows, materialize, release
+from .common import WORD, columns, free_memory, map_rows, materialize, release
 
 SEED = 42
 DISTANCE = 3
@@ -291,6 +292,8 @@ def cluster_table(docs: DataFrame) -> DataFrame:
 #: Independent fingerprints of a document's word set, and the distance that always meets.
 PRINTS, REACH = 3, 5
 WORDS, SIMILARITY = 5, 0.8
+#: Documents in a part of a large set of candidates, and hashes for each of them; two parts meet in a task.
+GROUP, HASHES = 1_000, 500
 #: Rows up to which a set of row numbers is broadcast (8 bytes each).
 BROADCAST_ROWS = 2_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -329,18 +332,93 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def similar_forest(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (member, root), as places in ``sets``, that connect exactly what pairs of at
+    least this ``jaccard`` connect.
+
+    A set comes to the front only as similar to one that was there, and is then compared
+    with all that have not been reached: postings of the hashes count what it shares.
+    """
+    size = np.array([len(s) for s in sets], np.int64)
+    ends = np.cumsum(size)
+    code = np.unique(np.concatenate([np.zeros(0, np.int64), *sets]), return_inverse=True)[1]
+    codes = int(code.max()) + 1 if len(code) else 0
+    order = np.argsort(code, kind="stable")
+    owner, of = np.repeat(np.arange(len(sets)), size)[order], code[order]
+    rest = np.ones(len(sets), bool)
+    left = indexed = len(sets)
+    count = np.bincount(of, minlength=codes)
+    first = np.cumsum(count) - count
+    members, roots = [], []
+    for root in range(len(sets)):
+        if not rest[root]:
+            continue
+        rest[root] = False
+        left -= 1
+        front = [root]
+        while front and left:
+            if 2 * left < indexed:  # postings of those that are left
+                keep = rest[owner]
+                owner, of, indexed = owner[keep], of[keep], left
+                count = np.bincount(of, minlength=codes)
+                first = np.cumsum(count) - count
+            x = front.pop()
+            own = code[ends[x] - size[x] : ends[x]]
+            n = count[own]
+            # a similar set lacks at most this share of the hashes, so it has one of any few more
+            few = len(own) - math.ceil(similarity * len(own) - 1e-6) + 1
+            if few < len(own):
+                rare = np.argpartition(n, few - 1)[:few]
+                if not rest[owner[_ranges(first[own[rare]], n[rare])]].any():
+                    continue
+            both = np.bincount(owner[_ranges(first[own], n)], minlength=len(sets))
+            union = size[x] + size - both
+            found = np.flatnonzero(rest & (both / np.maximum(union, 1) >= similarity) | rest & (union == 0))
+            if len(found):
+                rest[found] = False
+                left -= len(found)
+                members.append(found)
+                roots.append(np.full(len(found), root))
+                front.extend(found.tolist())
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *members]), np.concatenate([none, *roots])
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (n[0] of them), then those of the next."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Rows and sets of hashes of each run of one cell."""
+    last, rows, sets = None, [], []
+    for b in batches:
+        lists = b.column("hashes")
+        at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+        for k, (cell, row) in enumerate(zip(b.column("cell").to_pylist(), b.column("__row").to_pylist())):
+            if cell != last and rows:
+                yield np.array(rows, np.int64), sets
+                rows, sets = [], []
+            last = cell
+            rows.append(row)
+            sets.append(values[at[k] : at[k + 1]].copy())
+    if rows:
+        yield np.array(rows, np.int64), sets
+
+
 def _few(rows: DataFrame) -> DataFrame:
     """Broadcast a slim table if a count shows that it is small; else Spark joins by shuffle."""
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
-def near_copies(numbered: DataFrame, size: int = WORDS, similarity: float = SIMILARITY, prints: int = PRINTS, chunk: int = CHUNK) -> DataFrame:
+def near_copies(numbered: DataFrame, size: int = WORDS, similarity: float = SIMILARITY, prints: int = PRINTS, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
     """__row, root for rows of ``numbered(__row, text)``; rows of one group have one root.
 
     Rows with the same words in order are one node.  Candidates come from anchor-point
-    covering of each of ``prints`` fingerprints at distance ``REACH``; each is then checked
-    exactly by the similarity of its sets of ``size``-word shingles, and groups are what the
-    checked links connect.
+    covering of each of ``prints`` fingerprints at distance ``REACH``.  The edges found there
+    are a spanning forest, so they only say which nodes belong to one set of candidates; in
+    a set, all pairs are settled by the similarity of their ``size``-word shingles, and
+    groups are what the similar pairs connect.
     """
 
     def make():
@@ -361,28 +439,35 @@ def near_copies(numbered: DataFrame, size: int = WORDS, similarity: float = SIMI
         same = nodes.join(reps, f).where("node <> rep").select(F.col("node").alias("x"), F.col("rep").alias("y"))
         e = e.unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         found = e if found is None else found.unionByName(e)
-    found = materialize(found.distinct(), "candidates")
-    wanted = materialize(found.select(F.explode(F.array("a", "b")).alias("__row")).distinct(), "wanted")
+    found = materialize(components(found).select(F.col("node").alias("__row"), F.col("root").alias("set")), "candidates")
 
     def sets():
         return lambda x: {"__row": x["__row"], "hashes": [shingle_set(t, size) for t in x["text"]]}
 
-    some = columns(numbered, "__row", "text").join(_few(wanted), "__row", "left_semi")
+    some = columns(numbered, "__row", "text").join(_few(found.select("__row")), "__row", "left_semi")
     held = materialize(map_rows(some, sets, "__row long, hashes array<long>"), "shingle_sets")
-
-    def check(batches):
-        for b in batches:
-            keep = [jaccard(np.array(x.as_py(), np.int64), np.array(y.as_py(), np.int64)) >= similarity for x, y in zip(b.column("x"), b.column("y"))]
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    pairs = found.join(held.select(F.col("__row").alias("a"), F.col("hashes").alias("x")), "a").join(held.select(F.col("__row").alias("b"), F.col("hashes").alias("y")), "b")
-    near = materialize(pairs.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "near")
+    sizes = found.join(held.select("__row", F.size("hashes").alias("n")), "__row").groupBy("set").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+    parts = F.least("rows", F.ceil(F.greatest(F.col("rows") / group, F.col("n") / (group * HASHES)))).alias("parts")
+    # a set of more than one part is dealt out, and each pair of parts is a cell
+    mine = F.pmod(F.xxhash64("__row"), F.col("parts"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: (F.col("parts") == 1) | (o != mine))
+    ij = F.transform(others, lambda o: F.struct(F.least(mine, o).alias("i"), F.greatest(mine, o).alias("j")))
+    cells = found.join(sizes.select("set", parts), "set").select("__row", "set", F.explode(ij).alias("ij")).select("__row", F.xxhash64("set", "ij").alias("cell"))
+
+    def search(batches):
+        for rows, held_sets in _cells(batches):
+            a, b = similar_forest(held_sets, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[a]), pa.array(rows[b])], names=["a", "b"])
+        free_memory()
+
+    dealt = cells.join(held, "__row").select("cell", "__row", "hashes").repartition(F.col("cell")).sortWithinPartitions("cell")
+    near = materialize(dealt.mapInArrow(search, "a long, b long"), "near")
     roots = components(near).withColumnRenamed("root", "__root")
     named = nodes.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("__root", "node").alias("root"))
     return materialize(keyed.select("__row", "k1", "k2").join(named, ["k1", "k2"]).select("__row", "root"), "roots")
 
 
-def dedup_documents(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY, prints: int = PRINTS, chunk: int = CHUNK) -> DataFrame:
+def dedup_documents(docs: DataFrame, size: int = WORDS, similarity: float = SIMILARITY, prints: int = PRINTS, chunk: int = CHUNK, group: int = GROUP) -> DataFrame:
     """One document of each group of near copies stays (that of the smallest doc_id, and of
     rows that repeat it the first stored), with the columns of ``docs``.
 
@@ -391,7 +476,7 @@ def dedup_documents(docs: DataFrame, size: int = WORDS, similarity: float = SIMI
     leaves the texts where they are while those rows are few enough to broadcast.
     """
     numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    found = near_copies(numbered, size, similarity, prints, chunk)
+    found = near_copies(numbered, size, similarity, prints, chunk, group)
     order = numbered.select("__row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row").alias("__order"))
     rows = materialize(found.join(order, "__row"), "ordered")
     stay = rows.groupBy("root").agg(F.min("__order").alias("first")).select(F.col("first.__row").alias("__keep"))

@@ -134,6 +134,39 @@ def test_dedup_finds_near_copies_only(spark):
     assert len(kept - set(want.values())) <= 0.02 * len(rows)
 
 
+@pytest.mark.parametrize("group", [1000, 20])
+def test_dedup_compares_copies_of_a_base_that_comes_last(spark, group):
+    r = random.Random(5)
+    base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    rows = []
+    for _ in range(150):
+        w = list(base)
+        for at in r.sample(range(5, 95), 2):
+            w[at] = f"x{r.randrange(10**6)}"
+        rows.append((len(rows), " ".join(w)))
+    rows.append((len(rows), " ".join(base)))
+    keys = [sims(t) for _, t in rows]
+    brute = brute_groups(keys, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    kept = {x.doc_id for x in simhash.dedup_documents(docs(spark, rows), group=group).collect()}
+    assert len(kept) == len(set(brute)) == 1
+
+
+@pytest.mark.parametrize("similarity", [0.8, 0.5])
+def test_similar_forest_connects_all(similarity):
+    r = random.Random(8)
+    sets = [set()]
+    for _ in range(30):
+        s = set(r.sample(range(300), r.choice([1, 5, 40])))
+        for _ in range(r.choice([1, 3, 12])):
+            s = {x for x in s if r.random() > 0.08} | {r.randrange(300)}
+            sets.append(s)
+    a, b = simhash.similar_forest([np.array(sorted(s), np.int64) for s in sets], similarity)
+    edges = {*zip(a.tolist(), b.tolist()), *zip(b.tolist(), a.tolist())}
+    got = brute_groups(range(len(sets)), lambda x, y: (x, y) in edges)
+    want = brute_groups(sets, lambda x, y: len(x & y) >= similarity * len(x | y))
+    assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
 def test_dedup_edges(spark):
     d = docs(spark, [(1, None), (2, ""), (3, "a b"), (3, "a b"), (None, "A  b"), (None, "c"), (4, "z " * 30_000)])
     out = simhash.dedup_documents(d)
