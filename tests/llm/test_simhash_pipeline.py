@@ -151,6 +151,16 @@ def test_dedup_compares_copies_of_a_base_that_comes_last(spark, group):
     assert len(kept) == len(set(brute)) == 1
 
 
+def test_dedup_compares_all_of_one_word_set(spark):
+    words = [f"w{k}" for k in range(120)]
+    other = random.Random(3).sample(words, 120)
+    close = list(other)
+    close[60], close[61] = close[61], close[60]
+    rows = [(0, " ".join(words)), (1, " ".join(other)), (2, " ".join(close))]
+    assert len({tuple(simhash.word_set_prints(t)[2]) for _, t in rows}) == 1
+    assert {x.doc_id for x in simhash.dedup_documents(docs(spark, rows)).collect()} == {0, 1}
+
+
 @pytest.mark.parametrize("similarity", [0.8, 0.5])
 def test_similar_forest_connects_all(similarity):
     r = random.Random(8)
