@@ -356,7 +356,7 @@ def _facts(spark, **facts) -> DataFrame:
 
 @register("imm_ic_2")
 def imm_ic(spark, d):
-    r = select.imm(held(build(users(spark, d), "IC", 2)), 3, eps=0.5, max_theta=4000)
+    r = select.imm(held(build(users(spark, d), "IC", 2)), 3, eps=0.5)
     return _facts(spark, seeds=r.cover.seeds, theta=r.theta, lower=r.lower, influence=r.influence)
 
 
@@ -384,7 +384,7 @@ def opim_prefix(spark, d):
 
 @register("imm_prefix_trigger_2")
 def imm_prefix(spark, d):
-    return select.imm_prefix(held(build(users(spark, d), "TRIGGER", 2)), [1, 3], eps=0.5, max_theta=2000)[1]
+    return select.imm_prefix(held(build(users(spark, d), "TRIGGER", 2)), [1, 3], eps=0.5)[1]
 
 
 @register("stopping_rule_ic_2")

@@ -6,6 +6,7 @@ import pytest
 
 from ripplework.operators import aux_graph as A
 from ripplework.operators import baselines, graph, rrsets, select, spread
+from ripplework.plans import registry
 from ripplework.sources import edges as src
 
 TOY = [(1, 2), (1, 3), (2, 4), (3, 4)]
@@ -217,3 +218,15 @@ def test_experiment(spark, toy):
         X.algorithm_name("nothing")
     with pytest.raises(ValueError):
         src.load(spark, "nothing", "")
+
+
+def test_imm_caps_the_last_sample_only(toy, monkeypatch):
+    g = A.build(toy, "IC", 2)
+    whole, capped = select.imm(g, 2), select.imm(g, 2, max_theta=5)
+    assert capped.lower == whole.lower and capped.theta == 5 < whole.theta
+    given = []
+    monkeypatch.setattr(registry.select, "imm", lambda *a, **b: given.append(b) or whole)
+    monkeypatch.setattr(registry, "users", lambda spark, d: toy)
+    registry.imm_ic(toy.sparkSession, "")
+    registry.imm_prefix(toy.sparkSession, "")
+    assert len(given) == 2 and not any("max_theta" in b for b in given)
