@@ -138,7 +138,7 @@ def ratio(run: str, table: np.ndarray) -> float:
 
 
 def spans(text: str | None, table: np.ndarray) -> list[tuple[int, int, int]]:
-    """(start, kind, end): the base spans, and runs that the models call random."""
+    """(start, kind, end): the base spans, and runs outside any one of them that the models call random."""
     if not text:
         return []
     base = [(a, k, b) for a, k, b, _, _ in base_spans(text)]
@@ -148,7 +148,7 @@ def spans(text: str | None, table: np.ndarray) -> list[tuple[int, int, int]]:
         if not (any(map(str.isdigit, run)) and any(map(str.isalpha, run))):
             continue
         a, b = m.span()
-        if any(x < b and a < y for x, _, y in base):
+        if any(x <= a and b <= y for x, _, y in base):
             continue
         if ratio(run, table) > LEAST_RATIO:
             found.append((a, 3, b))

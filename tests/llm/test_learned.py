@@ -179,6 +179,14 @@ def test_markov_finds_random_strings(spark):
     assert out[99] == f"markov:4:{4 + len(key)}" and not any(v for k, v in out.items() if k != 99)
 
 
+def test_run_beside_a_base_span_is_whole():
+    key = "sk_live_0123456789abcdefC39HqLyjWDarjtT1zdp7"
+    table = np.ones((secrets.SIZE, secrets.SIZE))
+    assert secrets.spans(f"a {key} b", table) == [(2, 3, 2 + len(key)), (10, 2, 26)]
+    assert secrets.masked(f"a {key} b", table) == "a [SECRET] b"
+    assert secrets.spans("x 0123456789abcdef01234567 y", table) == [(2, 2, 26)]
+
+
 def test_masking(spark):
     d = docs(spark, [(1, 'x token = "aaaaaaaaaaaaaaaa1" y 0123456789abcdef0 z', None), (2, "clean", None), (3, None, None)])
     out = {r.doc_id: r for r in secrets.mask_documents(d).collect()}
