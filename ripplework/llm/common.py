@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,27 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ripplework.functions.scratch import clear as clear
+from ripplework.functions.scratch import own_folder
+
 #: A word is a maximal run of characters other than these six white-space code points.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_own_folder: list[str] = []
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not _own_folder:
-        _own_folder.append(tempfile.mkdtemp(prefix="ripplework-"))
-        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
-    return f"file://{_own_folder[0]}"
+#: Folders of the tables that this process has stored and not yet released, in order.
+_stored: list[str] = []
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -44,26 +33,53 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     number of later jobs share the result.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/ripplework-llm/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+    path = f"{own_folder(spark)}/llm/{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    _stored.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def kept(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()``, stored; every table that it has stored on the way is deleted."""
+    before = len(_stored)
+    out = materialize(make(), name)
+    for path in _stored[before:-1]:
+        _delete(out.sparkSession, path)
+    del _stored[before:-1]
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p.getParent(), True)
+
+
 def release(df: DataFrame) -> None:
     """Delete a table of ``materialize`` that nothing unread depends on any more."""
     path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p.getParent(), True)
+    if path in _stored:
+        _stored.remove(path)
+        _delete(df.sparkSession, path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores more as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete all that this application stored; call it when no result is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/ripplework-llm/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """``__doc``, a struct of all columns, and the columns ``names`` beside it, so that no name
+    of an operator's own can clash with one of ``df``; ``unpacked`` undoes it."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__doc"), *(F.col(f"`{n}`") for n in names))
+
+
+def unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(*(F.col("__doc")[c].alias(c) for c in names))
 
 
 def columns(df: DataFrame, *names: str) -> DataFrame:
@@ -71,6 +87,26 @@ def columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*(F.col(f"`{n}`") for n in names))
 
 
+#: Keys that are broadcast because they have many rows are fewer than this.
+HOT_SHARE = 2_000
+
+
+def join_split(rows: DataFrame, per_key: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``per_key``, a row for each key with the count ``__n`` of its rows.
+
+    Keys with more than 1 in ``HOT_SHARE`` of all ``total`` rows, of which there are fewer than
+    ``HOT_SHARE``, are broadcast, so that their rows stay where they are; the rows of the other
+    keys meet by shuffle.
+    """
+    least = max(1, total // HOT_SHARE)
+    hot = per_key.where(F.col("__n") > least).drop("__n")
+    names = [c for c in hot.columns if c != key]
+    marked = rows.join(F.broadcast(hot.select(F.col(key).alias("__hot"), *(F.col(c).alias(f"__{c}") for c in names))), F.col(key) == F.col("__hot"), "left")
+    found = marked.where("__hot IS NOT NULL").select(*rows.columns, *(F.col(f"__{c}").alias(c) for c in names))
+    rest = marked.where("__hot IS NULL").select(*rows.columns)
+    return found.unionByName(rest.join(per_key.where(F.col("__n") <= least).drop("__n"), key, how).select(*rows.columns, *names))
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: str | StructType) -> DataFrame:
     """Arrow map by batch: ``make()`` runs once in each task and gives a function from the
     batch's columns (lists) to the output columns (lists).
