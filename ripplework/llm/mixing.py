@@ -2,20 +2,20 @@
 
 Targets: the sources share ``epochs`` times the words of all sources by weight; a target
 stops at ``cap`` times its source's words and what is above goes to the other sources by
-weight until none is above.  The end of that process has a closed form: with the sources in
-order of (cap / weight), the clamped ones are a prefix, and the rest get ``level * weight``.
-One pass over the (small) table of sources finds it, without iterating.
+weight until none is above.  Each round clamps the sources above the common level and
+raises the level for the rest; it is one sum over the table of sources.
 
 Sampling: a source whose target is e = whole + rest times its words gives every document
 ``whole`` times and once more the documents that come first by a seeded hash, up to
-``rest`` times the source's words.  The place of that cut is found by 4096 hash buckets of
-each source and then by rows inside the one bucket that holds it, so no source, however
-large, meets in one task.  Decisions depend on (seed, doc_id, size) only.
+``rest`` times the source's words, to within half a document.  Equal hashes are told apart
+by a second one and then by the row's stored number, so ties and repeated rows are cut like
+any others.  The cut is found by ``cuts``, so no source, however large, meets in one task.
 
 Defined cases: null text has 0 words; a null source is a source of its own and comes last;
-sources without words get target 0 and their documents 0 repetitions beyond ``whole``;
-rows that repeat a doc_id and size share their decision; null doc_ids share a hash.
-Extra columns of the input are left alone; an empty table gives an empty result.
+sources without words get target 0 and their documents no repetition; of rows that are equal
+in doc_id and size as many as fit are taken once more, in the order stored; null doc_ids
+share a hash.  Extra columns of the input are left alone; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -23,126 +23,102 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from ripplework.sources.edges import dense_rank_by
 
-BUCKETS = 4096
-#: Sources up to which the table of decisions is broadcast; beyond it Spark joins by shuffle.
-BROADCAST_SOURCES = 20_000
+from .common import WORD, materialize, packed, release, unpacked
+from .cuts import BROADCAST_KEYS, cuts, with_keys
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def keyed(seed: int, doc_id: Column, size: Column) -> Column:
-    """A uniform 32-bit integer that any engine with MD5 can recompute."""
+def keyed(seed: int, doc_id: Column, size: Column, at: int = 0) -> Column:
+    """A uniform 32-bit integer that any engine with MD5 can recompute, the first or second."""
     key = F.concat_ws("|", F.lit(f"mix{seed}"), F.coalesce(doc_id.cast("string"), F.lit("null")), size.cast("string"))
-    return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(key), 1 + 8 * at, 8), 16, 10).cast("long")
 
 
-def with_sizes(docs: DataFrame, seed: int) -> DataFrame:
-    """``docs`` and the columns __size, __h and __bucket."""
-    d = docs.withColumn("__size", n_words(F.col("text")))
-    d = d.withColumn("__h", keyed(seed, F.col("doc_id"), F.col("__size")))
-    return d.withColumn("__bucket", F.shiftright("__h", 20))
+def source_key(source: Column) -> Column:
+    """A string that is never null and orders like the source, nulls last."""
+    return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source.cast("string")))
+
+
+def places(rows: DataFrame, seed: int) -> DataFrame:
+    """``rows(source, doc_id, text, __row, ...)`` and key, weight (words) and w, the place."""
+    d = rows.withColumn("key", source_key(F.col("source"))).withColumn("weight", n_words(F.col("text")))
+    return d.withColumn("w", F.array(keyed(seed, F.col("doc_id"), F.col("weight")), keyed(seed, F.col("doc_id"), F.col("weight"), 1), F.col("__row")))
 
 
 def water_fill(sources: DataFrame, pattern: tuple[int, ...], epochs: float, cap: float) -> DataFrame:
-    """``sources(source, source_size)`` with the columns target, whole and rest_words."""
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
+    """``sources(key, source_size)`` with the columns target, whole and rest_words.
+
+    The shares of the free sources follow from one level, which rises as sources above it are
+    clamped, until none is above; a round is one sum over all sources.
+    """
     weights = F.array(*(F.lit(float(w)) for w in pattern))
-    s = sources.withColumn("__w", F.element_at(weights, ((F.row_number().over(by_name) - 1) % len(pattern) + 1).cast("int")))
-    s = s.withColumn("__cap", F.lit(cap) * F.col("source_size")).withColumn("__ratio", F.col("__cap") / F.col("__w"))
-    order = Window.orderBy("__ratio", F.col("source").asc_nulls_last())
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    after = order.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy()
-    level = (F.lit(epochs) * F.sum("source_size").over(everything) - F.coalesce(F.sum("__cap").over(before), F.lit(0.0))) / F.sum("__w").over(after)
-    s = s.withColumn("__level", level).withColumn("__free", F.col("__level") <= F.col("__ratio"))
-    # the first free source in this order fixes the level of all that follow
-    s = s.withColumn("__level", F.min(F.when(F.col("__free"), F.struct("__ratio", F.col("__level").alias("level")))).over(everything)["level"])
-    s = s.withColumn("target", F.when(F.col("__level").isNull() | (F.col("__ratio") < F.col("__level")), F.col("__cap")).otherwise(F.col("__level") * F.col("__w")))
+    if sources.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
+        ranked = sources.withColumn("rank", F.row_number().over(Window.orderBy("key")) - 1)
+    else:
+        ranked = dense_rank_by(sources, ["key"])
+    s = ranked.select("key", "source_size", F.element_at(weights, (F.col("rank") % len(pattern) + 1).cast("int")).alias("share"))
+    s = materialize(s.withColumn("most", F.lit(float(cap)) * F.col("source_size")), "shares")
+    words = s.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    level, clamped = 0.0, -1
+    while True:
+        above = F.col("most") / F.col("share") < F.lit(level)
+        sums = s.agg(F.coalesce(F.sum(F.when(above, F.col("most"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~above, F.col("share"))), F.lit(0.0)), F.count(F.when(above, 1))).first()
+        if sums[2] == clamped or not sums[1]:
+            break
+        level, clamped = (epochs * words - sums[0]) / sums[1], sums[2]
+    target = F.least("most", F.lit(level) * F.col("share")) if sums[1] else F.col("most")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    s = s.withColumn("whole", whole)
-    return s.select("source", "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest_words"))
+    s = s.withColumn("target", target).withColumn("whole", whole)
+    return s.select("key", "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest_words"))
 
 
-def decisions(sized: DataFrame, pattern=(5, 2, 1), epochs: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """A row for each source: target, whole and the cut (cut_h, cut_id) of the one more time.
+def decisions(rows: DataFrame, pattern=(5, 2, 1), epochs: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """A row for each source: target, whole and the cut of the one more time.
 
-    ``sized`` has source, __size, __h, __bucket and doc_id and is read twice.
+    ``rows`` are stored ``places`` (key, weight, w) and read a few times.
     """
-    sums = sized.groupBy("source", "__bucket").agg(F.sum("__size").alias("__words"))
-    sums = materialize(sums, "bucket_words")
-    sources = water_fill(sums.groupBy("source").agg(F.sum("__words").alias("source_size")), pattern, epochs, cap)
+    sources = rows.groupBy("key").agg(F.sum("weight").alias("source_size"), F.count(F.lit(1)).alias("__n"))
     sources = materialize(sources, "sources")
-    up_to = Window.partitionBy("source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cuts = (
-        sums.withColumn("__upto", F.sum("__words").over(up_to))
-        .join(_small(sources).withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s")))
-        .where((F.col("__upto") > F.col("rest_words")) & (F.col("__upto") - F.col("__words") <= F.col("rest_words")))
-        .groupBy("__s")
-        .agg(F.min_by(F.struct(F.col("__bucket").alias("b"), (F.col("rest_words") - (F.col("__upto") - F.col("__words"))).alias("left")), "__bucket").alias("cut"))
-    )
-    cuts = materialize(cuts.select("__s", F.col("cut.b").alias("cut_bucket"), F.col("cut.left").alias("left_words")), "cuts")
-    here = sized.select("source", "doc_id", "__size", "__h", "__bucket").join(
-        _small(cuts), F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("cut_bucket"))
-    )
-    rows = Window.partitionBy("__s").orderBy("__h", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, 0)
-    inside = (
-        here.withColumn("__upto", F.sum("__size").over(rows))
-        .where(F.col("__upto") - F.col("__size") / 2 <= F.col("left_words"))
-        .groupBy("__s")
-        .agg(F.max(F.struct(F.col("__h").alias("h"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"))).alias("last"))
-    )
-    cut = cuts.join(inside.withColumnRenamed("__s", "__t"), F.col("__s").eqNullSafe(F.col("__t")), "left")
-    cut = cut.select("__s", F.coalesce(F.col("last.h"), F.shiftleft(F.col("cut_bucket"), 20) - 1).alias("cut_h"), F.col("last.id").alias("cut_id"))
-    out = sources.join(cut, F.col("source").eqNullSafe(F.col("__s")), "left")
-    return materialize(out.select("source", "source_size", "target", "whole", F.coalesce("cut_h", F.lit(-1)).alias("cut_h"), "cut_id"), "decisions")
-
-
-def _small(per_source: DataFrame) -> DataFrame:
-    """Broadcast a table with a row for each source if a count shows that it is small."""
-    return F.broadcast(per_source) if per_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else per_source
-
-
-def repetitions(sized: DataFrame, per_source: DataFrame) -> DataFrame:
-    """``sized`` and its source's columns and __times, the repetitions that the mix takes."""
-    p = per_source.select(F.col("source").alias("__src"), *(F.col(c).alias(f"__{c}") for c in ("source_size", "target", "whole", "cut_h", "cut_id")))
-    d = sized.join(_small(p), F.col("source").eqNullSafe(F.col("__src")))
-    id_ = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    once_more = (F.col("__h") < F.col("__cut_h")) | ((F.col("__h") == F.col("__cut_h")) & (F.col("__cut_id").isNull() | (id_ <= F.col("__cut_id"))))
-    return d.withColumn("__times", F.col("__whole") + once_more.cast("long"))
+    filled = materialize(water_fill(sources.select("key", "source_size"), pattern, epochs, cap), "targets")
+    goals = filled.where("source_size > 0").select("key", F.col("rest_words").alias("goal"), F.lit(None).cast("double").alias("slack"))
+    cut = cuts(rows, goals, 3)
+    out = filled.join(cut, "key", "left").join(sources.select("key", "__n"), "key")
+    return materialize(out.select("key", "__n", "source_size", "target", "whole", "cut"), "decisions")
+
+
+def repetitions(rows: DataFrame, per_source: DataFrame) -> DataFrame:
+    """``rows`` and its source's columns and times, the repetitions that the mix takes."""
+    once_more = F.coalesce(F.col("w") <= F.col("cut"), F.lit(False)).cast("long")
+    return with_keys(rows, per_source).withColumn("times", F.col("whole") + once_more)
 
 
 def mix_table(docs: DataFrame, seed: int = 42, pattern=(5, 2, 1), epochs: float = 1.5, cap: float = 2.0) -> DataFrame:
     """doc_id, size, source_size, target, taken for every document."""
-    sized = with_sizes(docs.select("doc_id", "source", "text"), seed).drop("text")
-    sized = materialize(sized, "sizes")
-    out = repetitions(sized, decisions(sized, pattern, epochs, cap))
-    return out.select(
-        "doc_id",
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col("__times") * F.col("__size")).alias("taken"),
-        "source",
-        F.col("__times").alias("times"),
-    )
+    rows = places(docs.select("doc_id", "source", "text").withColumn("__row", F.monotonically_increasing_id()), seed).drop("text")
+    rows = materialize(rows, "sizes")
+    out = repetitions(rows, decisions(rows.select("key", "w", "weight"), pattern, epochs, cap))
+    return out.select("doc_id", F.col("weight").alias("size"), "source_size", "target", (F.col("times") * F.col("weight")).alias("taken"), "source", "times")
 
 
 def mix_documents(docs: DataFrame, seed: int = 42, pattern=(5, 2, 1), epochs: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the columns of ``docs``.
 
-    The texts are not shuffled while the sources are few enough to broadcast: a document's
-    repetitions follow from its own row and its source's row.  Documents without words follow
-    the rule of their source like any other.
+    Documents are numbered in a stored copy.  The texts are not shuffled while the sources are
+    few enough to broadcast: a document's repetitions follow from its own row and its source's
+    row.  Documents without words follow the rule of their source like any other.
     """
-    sized = with_sizes(docs, seed)
-    slim = materialize(with_sizes(docs.select("doc_id", "source", "text"), seed).drop("text"), "sizes")
-    out = repetitions(sized, decisions(slim, pattern, epochs, cap))
-    out = out.where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
-    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+    stored = materialize(packed(docs, "source", "doc_id", "text").withColumn("__row", F.monotonically_increasing_id()).select("__doc", "__row"), "numbered")
+    rows = places(stored.select(*(F.col("__doc")[c].alias(c) for c in ("source", "doc_id", "text")), "__row", "__doc"), seed)
+    slim = materialize(rows.select("key", "w", "weight"), "sizes")
+    out = repetitions(rows.select("__doc", "key", "w"), decisions(slim, pattern, epochs, cap))
+    release(slim)
+    out = out.where("times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return unpacked(out, docs.columns)
 
 
 #: The same rules for an independent engine; the hash is MD5, so both draw alike.
@@ -150,7 +126,7 @@ SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), hashed AS (
-  SELECT *, ('0x' || substr(md5('mix42|' || COALESCE(doc_id::VARCHAR, 'null') || '|' || size::VARCHAR), 1, 8))::BIGINT AS h FROM sized
+  SELECT *, md5('mix42|' || COALESCE(doc_id::VARCHAR, 'null') || '|' || size::VARCHAR) AS h FROM sized
 ), s0 AS (
   SELECT source, SUM(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), s1 AS (
@@ -169,14 +145,10 @@ WITH sized AS (
   SELECT *, CASE WHEN source_size > 0 THEN FLOOR(target / source_size) ELSE 0 END::BIGINT AS whole FROM s5
 ), ordered AS (
   SELECT hashed.*, source_size, target, whole,
-         SUM(size) OVER (PARTITION BY hashed.source ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) AS upto
+         SUM(size) OVER (PARTITION BY hashed.source ORDER BY substr(h, 1, 16), doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
   FROM hashed JOIN s6 ON hashed.source IS NOT DISTINCT FROM s6.source
-), cut AS (
-  SELECT source AS cs, h AS ch, doc_id AS cid FROM ordered WHERE upto - size / 2.0 <= target - whole * source_size
-  QUALIFY ROW_NUMBER() OVER (PARTITION BY source ORDER BY h DESC, doc_id DESC NULLS LAST) = 1
+), timed AS (
+  SELECT *, (whole + CASE WHEN source_size > 0 AND upto - size / 2.0 <= target - whole * source_size THEN 1 ELSE 0 END)::BIGINT AS times FROM ordered
 )
-SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN ch IS NOT NULL AND (h < ch OR (h = ch AND COALESCE(doc_id, -9223372036854775808) <= COALESCE(cid, -9223372036854775808))) THEN 1 ELSE 0 END))::BIGINT AS taken,
-       source, (whole + CASE WHEN ch IS NOT NULL AND (h < ch OR (h = ch AND COALESCE(doc_id, -9223372036854775808) <= COALESCE(cid, -9223372036854775808))) THEN 1 ELSE 0 END)::BIGINT AS times
-FROM ordered LEFT JOIN cut ON source IS NOT DISTINCT FROM cs
+SELECT doc_id, size, source_size, target, (size * times)::BIGINT AS taken, source, times FROM timed
 """

@@ -4,40 +4,40 @@ A node is split at the weighted median (more generally, at the weighted quantile
 shards on its left side) along its widest metadata dimension, until a leaf is one shard.
 Weights are row sizes in bytes; widths are taken relative to the whole table's range.
 
-The median is found exactly and without sorting: a pass sums the bytes of ``BINS`` equal
-intervals for all nodes of a level at once, and the interval that holds the median is cut
-again.  All dimensions are properties of the text, so equal texts are one point.  Where rows tie on
-the dimension, the same search goes on over the text's CRC-32; a group of equal texts moves
-as a whole to the nearer side if that costs less than ``GROUP_SLACK`` of a shard, else the
-search goes on over the id's CRC-32 and the group (a third of all rows, say) is split.  The
-driver gets at most ``BINS`` rows for each open node, however large the table.
-
-Defined cases: null text has 0 bytes and is a group with the empty text; null doc_ids tie;
-repeated rows are rows like any other; an empty table gives no rows; shards
-that get no row are allowed when there are fewer rows than shards.  Slots are gapless for
-each shard and ordered by (hash bucket of the id, id).
+All nodes of a level are split at once: the node is a column of the slim points, the nodes'
+widest dimensions come from one aggregation, and their medians from ``cuts``, exact and
+without sorting a node.  The driver sees no rows of either, so the number of shards is
+bounded by neither the driver nor an expression.
+
+All dimensions are properties of the text, so equal texts are one point.  Rows that tie on
+the dimension are told apart by the text's CRC-32; a group of equal texts moves as a whole
+to the nearer side if that misses the goal by less than ``GROUP_SLACK`` of a shard, else the
+group (a third of all rows, say) is split by the row's stored number.
+
+Defined cases: null text has 0 bytes and is a group with the empty text; null doc_ids and
+repeated rows are rows like any other and are split like them; an empty table gives no rows;
+shards that get no row are allowed when there are fewer rows than shards.  Slots are gapless
+for each shard; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns, materialize
+from .common import columns, materialize, release
+from .cuts import cuts, with_keys
 
-BINS = 2048
 #: Share of a shard's bytes by which a cut may miss its goal to keep equal texts together.
 GROUP_SLACK = 0.01
 #: Bytes, bytes beyond one a character, and lines; in the order that breaks ties of width.
 DIMENSIONS = ("size", "wide_bytes", "lines")
-#: What breaks ties of value.
-TIES = ("text_crc32", "id_code")
+#: Parts of a shard in which rows are numbered.
+SLOT_PARTS = 256
 
 
 def points(docs: DataFrame) -> DataFrame:
-    """A slim row for each document: id, size and integer coordinates."""
+    """A slim row for each document: id, size, integer coordinates and a number."""
     text = F.coalesce("text", F.lit(""))
     return columns(docs, "doc_id", "text").select(
         "doc_id",
@@ -45,144 +45,62 @@ def points(docs: DataFrame) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
         (F.octet_length(text) - F.length(text)).cast("long").alias("wide_bytes"),
         (F.length(text) - F.length(F.translate(text, "\n", ""))).cast("long").alias("lines"),
-        F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("id_code"),
+        F.monotonically_increasing_id().alias("row"),
     )
 
 
-@dataclass
-class Node:
-    """An open node: its shards, its rows (a predicate) and the state of its median search."""
-
-    first: int
-    count: int
-    where: Column
-    bytes: int
-    keys: tuple[str, ...] = ()
-    fixed: list[int] = field(default_factory=list)
-    lo: int = 0
-    hi: int = 0
-    ranges: dict[str, tuple[int, int]] = field(default_factory=dict)
-    below: int = 0
-    goal: int = 0
-    cut: list[int] | None = None
-
-    def at(self) -> str:
-        return self.keys[len(self.fixed)]
-
-    def width(self) -> int:
-        return max(1, -(-(self.hi - self.lo + 1) // BINS))
-
-
-def _tag(nodes: list[Node]) -> Column:
-    """The number of the row's node."""
-    out = F.when(nodes[0].where, F.lit(0))
-    for k, n in enumerate(nodes[1:], 1):
-        out = out.when(n.where, F.lit(k))
-    return out
-
-
-def _search(data: DataFrame, nodes: list[Node]) -> None:
-    """Find the weighted quantile of every node; one job for each refinement of all of them."""
-    for n in nodes:
-        n.lo, n.hi = n.ranges[n.at()]
-    while open_ := [n for n in nodes if n.cut is None]:
-        cases = None
-        for k, n in enumerate(open_):
-            here = n.where
-            for key, v in zip(n.keys, n.fixed):
-                here = here & (F.col(key) == v)
-            col = F.col(n.at())
-            here = here & (col >= n.lo) & (col <= n.hi)
-            value = F.lit(k * BINS) + F.expr(f"({n.at()} - {n.lo}L) div {n.width()}L")
-            cases = F.when(here, value) if cases is None else cases.when(here, value)
-        sums = data.withColumn("__bin", cases).where("__bin IS NOT NULL").groupBy("__bin").agg(F.sum("size").alias("b")).collect()
-        by: dict[int, list] = {k: [] for k in range(len(open_))}
-        for r in sums:
-            by[r["__bin"] // BINS].append((r["__bin"] % BINS, r["b"]))
-        for k, n in enumerate(open_):
-            _narrow(n, sorted(by[k]))
-
-
-def _narrow(n: Node, bins: list[tuple[int, int]]) -> None:
-    below = n.below
-    for b, weight in bins:
-        if below + weight > n.goal or (b, weight) == bins[-1]:
-            w = n.width()
-            n.below, n.lo, n.hi = below, n.lo + b * w, min(n.lo + (b + 1) * w - 1, n.hi)
-            if n.lo < n.hi:
-                return
-            whole = n.at() == "text_crc32" and min(below + weight - n.goal, n.goal - below) <= GROUP_SLACK * n.bytes / n.count
-            if len(n.fixed) + 1 < len(n.keys) and below != n.goal and not whole:
-                n.fixed.append(n.lo)
-                n.lo, n.hi = n.ranges[n.at()]
-                return
-            # the row or rows at the cut go to the side that leaves the smaller error
-            take = abs(below + weight - n.goal) < abs(below - n.goal)
-            n.cut = [*n.fixed, n.lo if take else n.lo - 1]
-            n.below = below + weight if take else below
-            return
-        below += weight
-    n.cut = [*n.fixed, n.hi]
-
-
-def _left(n: Node) -> Column:
-    """Lexicographic: up to and with the cut."""
-    out = F.col(n.keys[len(n.cut) - 1]) <= n.cut[-1]
-    for key, v in reversed(list(zip(n.keys, n.cut[:-1]))):
-        out = (F.col(key) < v) | ((F.col(key) == v) & out)
-    return out
-
-
-def assign(data: DataFrame, shards: int) -> Column:
-    """The shard of a row of ``points`` as one expression over its coordinates."""
-    total = data.agg(F.sum("size")).first()[0] or 0
-    leaves: dict[int, Column] = {}
-    level = [Node(0, shards, F.lit(True), total)]
-    spread: dict[str, int] | None = None
-    names = tuple(dict.fromkeys((*DIMENSIONS, *TIES)))
-    while level:
-        done = [n for n in level if n.count == 1 or n.bytes == 0]
-        leaves |= {n.first: n.where for n in done}
-        level = [n for n in level if n.count > 1 and n.bytes > 0]
-        if not level:
-            break
-        extents = data.withColumn("__node", _tag(level)).where("__node IS NOT NULL").groupBy("__node")
-        found = {r["__node"]: r for r in extents.agg(*(f(c).alias(f"{t}_{c}") for c in names for t, f in (("lo", F.min), ("hi", F.max)))).collect()}
-        for k, n in enumerate(level):
-            n.ranges = {c: (found[k][f"lo_{c}"], found[k][f"hi_{c}"]) for c in names}
-            spread = spread or {c: max(1, hi - lo) for c, (lo, hi) in n.ranges.items()}
-            widest = max(DIMENSIONS, key=lambda c: ((n.ranges[c][1] - n.ranges[c][0]) / spread[c], -DIMENSIONS.index(c)))
-            n.keys = tuple(dict.fromkeys((widest, *TIES)))
-            n.goal = n.bytes * (n.count // 2) // n.count
-        _search(data, level)
-        level = [child for n in level for child in _children(n)]
-    out = None
-    for shard, where in leaves.items():
-        out = F.when(where, F.lit(shard)) if out is None else out.when(where, F.lit(shard))
-    return out
-
-
-def _children(n: Node) -> tuple[Node, Node]:
-    half, left = n.count // 2, _left(n)
-    return Node(n.first, half, n.where & left, n.below), Node(n.first + half, n.count - half, n.where & ~left, n.bytes - n.below)
+def split_level(data: DataFrame, spread: dict[str, int]) -> DataFrame:
+    """``data`` (points with first and count: the node's shards) with every node split once."""
+    data = data.withColumn("key", F.col("first").cast("string"))
+    ends = [f(c).alias(f"{t}_{c}") for c in DIMENSIONS for t, f in (("lo", F.min), ("hi", F.max))]
+    nodes = data.where("count > 1").groupBy("key", "count").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("__n"), *ends)
+    widths = [(F.col(f"hi_{c}") - F.col(f"lo_{c}")) / F.lit(spread[c]) for c in DIMENSIONS]
+    widest = F.array_position(F.array(*widths), F.greatest(*widths)).cast("int")
+    half = F.floor(F.col("count") / 2)
+    nodes = nodes.select(
+        "key", "__n", widest.alias("dim"), (F.col("bytes") * half / F.col("count")).alias("goal"), (F.lit(GROUP_SLACK) * F.col("bytes") / F.col("count")).alias("slack")
+    )
+    nodes = materialize(nodes, "nodes")
+    rows = with_keys(data.where("count > 1").select("key", "size", "text_crc32", "row", *(c for c in DIMENSIONS if c != "size")), nodes.select("key", "__n", "dim"))
+    place = F.array(F.element_at(F.array(*DIMENSIONS), F.col("dim")), "text_crc32", "row")
+    found = cuts(rows.select("key", place.alias("w"), F.col("size").alias("weight")), nodes.select("key", "goal", "slack"), 3, 2)
+    found = materialize(nodes.join(found, "key").select("key", "__n", "dim", "cut"), "cuts")
+    split = with_keys(data.where("count > 1"), found)
+    left = place <= F.col("cut")
+    split = split.withColumn("first", F.when(left, F.col("first")).otherwise(F.col("first") + half)).withColumn("count", F.when(left, half).otherwise(F.col("count") - half))
+    names = [c for c in data.columns if c != "key"]
+    return split.select(names).unionByName(data.where("count = 1").select(names))
+
+
+def assign(data: DataFrame, shards: int) -> DataFrame:
+    """Stored ``points`` with the column shard."""
+    ends = data.agg(*(F.max(c) - F.min(c) for c in DIMENSIONS)).first()
+    spread = {c: max(1, x or 0) for c, x in zip(DIMENSIONS, ends)}
+    data = data.withColumn("first", F.lit(0).cast("long")).withColumn("count", F.lit(shards).cast("long"))
+    most = shards
+    while most > 1:
+        new = materialize(split_level(data, spread), "level")
+        release(data)
+        data, most = new, -(-most // 2)
+    return data.withColumn("shard", F.col("first").cast("int")).drop("first", "count")
 
 
 def shard_table(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every document."""
-    data = materialize(points(docs), "points")
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    tagged = data.select("doc_id", "size", "text_crc32", assign(data, shards).cast("int").alias("shard"), F.pmod(F.hash("id_code"), F.lit(parts)).alias("__part"))
-    # a slot is the rows in earlier buckets of the shard and the rank in its own: no shard is sorted in one task
-    counts = tagged.groupBy("shard", "__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    rank = F.row_number().over(Window.partitionBy("shard", "__part").orderBy("doc_id", "text_crc32", "size"))
-    # the broadcast side has at most shards * shuffle.partitions rows
+    if shards < 1:
+        raise ValueError("there must be one shard at least")
+    data = assign(materialize(points(docs), "points"), shards)
+    tagged = data.select("doc_id", "size", "text_crc32", "shard", "row", F.pmod(F.xxhash64("row"), F.lit(SLOT_PARTS)).alias("part"))
+    # a slot is the rows in earlier parts of the shard and the rank in its own: no shard is sorted in one task
+    counts = tagged.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "row"))
     return (
-        tagged.withColumn("__rank", rank)
-        .join(F.broadcast(starts), ["shard", "__part"])
+        tagged.withColumn("rank", rank)
+        .join(starts, ["shard", "part"])
         .select(
             "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
-            (F.col("__start") + F.col("__rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
+            (F.col("start") + F.col("rank") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
         )
     )

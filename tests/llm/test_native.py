@@ -110,7 +110,61 @@ def test_mix_edges(spark):
     got = mixing.mix_table(docs(spark, [(None, None, None), (None, "", None), (1, " \t", "x")])).collect()
     assert [r.taken for r in got] == [0, 0, 0]
     same = mixing.mix_table(docs(spark, [(1, "a b", "x")] * 4)).collect()
-    assert len(same) == 4 and len({r.taken for r in same}) == 1
+    assert len(same) == 4 and sum(r.taken for r in same) == same[0].target == 12
+
+
+def test_mix_ties_come_near_the_target(spark):
+    for rows in ([(7, "a b c d e", "x")] * 100, [(None, "a b c d e", None)] * 100):
+        got = mixing.mix_table(docs(spark, rows)).toPandas()
+        assert set(got.target) == {750.0} and got.taken.sum() == 750 and got.taken.max() <= 10
+
+
+def test_cuts_against_sorting(spark, monkeypatch):
+    import random
+
+    r = random.Random(6)
+    monkeypatch.setattr("ripplework.llm.cuts.BINS", 7)
+    rows, goals = [], {}
+    for key in range(12):
+        n = r.choice([1, 5, 300])
+        mine = [([r.randrange(r.choice([1, 3, 1000])), r.randrange(-50, 50), k], r.randint(0, 9)) for k in range(n)]
+        goals[str(key)] = r.uniform(0, 1.1) * sum(w for _, w in mine)
+        rows += [(str(key), w, weight) for w, weight in mine]
+    df = spark.createDataFrame(rows, "key string, w array<long>, weight long")
+    g = spark.createDataFrame([(k, x, None) for k, x in goals.items()], "key string, goal double, slack double")
+    for few in (0, 10, 50_000):
+        monkeypatch.setattr("ripplework.llm.cuts.FEW", few)
+        got = {x.key: x.cut for x in cuts_of(df, g)}
+        for key, goal in goals.items():
+            upto, want = 0, []
+            for _, w, weight in sorted(x for x in rows if x[0] == key):
+                upto += weight
+                if upto - weight / 2 <= goal:
+                    want.append(w)
+            assert sorted(x[1] for x in rows if x[0] == key and x[1] <= got[key]) == want, (key, few)
+
+
+def cuts_of(df, goals):
+    from ripplework.llm.cuts import cuts
+
+    return cuts(df, goals, 3).collect()
+
+
+def test_water_fill_of_many_sources(spark, monkeypatch):
+    rows = [(k, "w " * (1 + k % 5), f"s{k % 40:02d}") for k in range(200)]
+    want = sorted(map(tuple, mixing.mix_table(docs(spark, rows)).collect()))
+    monkeypatch.setattr("ripplework.llm.mixing.BROADCAST_KEYS", 3)
+    monkeypatch.setattr("ripplework.llm.cuts.BROADCAST_KEYS", 3)
+    assert sorted(map(tuple, mixing.mix_table(docs(spark, rows)).collect())) == want
+
+
+CLASH = "doc_id long, text string, source string, __times long, __src string, __target double, __row int, __doc string, w int, key string"
+
+
+def test_mix_leaves_clashing_columns(spark):
+    rows = [(k, "a b", "s", 5, "x", 1.5, -k, "d", 9, "k") for k in range(20)]
+    out = mixing.mix_documents(spark.createDataFrame(rows, CLASH))
+    assert out.columns == [c.split()[0] for c in CLASH.split(", ")] and set(map(tuple, out.collect())) <= set(rows)
 
 
 def shard_rows(spark, rows, n=16):
@@ -138,3 +192,17 @@ def test_shards_of_other_counts_and_edges(spark):
     assert len(shard_rows(spark, [])) == 0
     few = shard_rows(spark, [(None, None, None), (1, "é", "a"), (1, "é", "a")])
     assert sorted(few["size"]) == [1, 3, 3] and few.groupby("shard").slot.max().max() <= 2
+
+
+def test_shards_of_equal_rows(spark):
+    got = shard_rows(spark, [(None, "same", None)] * 1600)
+    assert sorted(got.groupby("shard").size()) == [100] * 16 and got.slot.max() == 99
+
+
+def test_first_cut_is_the_median_of_the_widest_dimension(spark):
+    rows = [(k, "x" * (k * 31 % 700) + "\n" * (k % 5), None) for k in range(500)]
+    got = shard_rows(spark, rows, 2)
+    sizes = got.sort_values("size")["size"].tolist()
+    left = got[got.shard == 0]["size"]
+    # all bytes of the left shard are on the low side of one size, at half of all bytes
+    assert left.max() <= got[got.shard == 1]["size"].min() and abs(left.sum() - sum(sizes) / 2) <= max(sizes) + sharding.GROUP_SLACK * sum(sizes)
