@@ -9,17 +9,18 @@ The parser is deterministic: it cuts the output before every control token and r
 opening token, its content, and the closing token that belongs to it; anything else is not
 a turn.  A turn is rendered without escapes first and parsed; if the recovered role and
 text differ from the source, its control strings are escaped (level 1, and the ampersands
-that start an escape), and if they still differ, every ``<``, ``[`` and ``&`` (level 2),
-after which no control string can be left.  Turns that parse alone parse alike in a
-sequence, since no control token spans a border between turns.
+that start an escape), and if they still differ, every ``<``, ``[`` and ``&`` (level 2).
+Then the joined conversation is parsed and its turns are compared with the source's; one
+that differs is rendered anew with every turn at level 2 and compared again, and if it still
+differed, the query would fail rather than give a string that does not parse back.
 
 The results are read back from the output: turns by the parser, the loss mask as character
 spans of the assistant contents within it.
 
 Defined cases: null text and null role are empty; turns are ordered by turn number (nulls
-first), then role, then the rendered turn, so that ties come in one order; a null is a conversation; an empty table gives no rows; extra columns are ignored.  A conversation
-becomes one string, so it meets in one task by its nature; all work on its
-texts but joining and reparsing is done before, row by row.
+first), then role, then text, so that ties come in one order; a null conv_id is a conversation;
+an empty table gives no rows; extra columns are ignored.  A conversation becomes one string,
+so it meets in one task by its nature; the levels are found before, row by row.
 """
 
 from __future__ import annotations
@@ -112,14 +113,35 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, formatted: each conversation as one string that parses back to its turns."""
     t = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     role, text = F.col("role"), F.col("text")
-    plain = render(role, text, 0)
+    plain, level1 = render(role, text, 0), render(role, text, 1)
     # a text without a control string cannot conflict, so most rows skip the parser
     suspect = text.rlike(CONTROL) | role.rlike(CONTROL) | ~role.isin(*TOKENS)
-    level1, level2 = render(role, text, 1), render(role, text, 2)
-    chosen = F.when(~suspect, plain).when(identical(plain, role, text), plain).when(identical(level1, role, text), level1).otherwise(level2)
-    t = t.select("conv_id", F.struct("turn", "role", chosen.alias("out")).alias("x"))
-    g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return g.select("conv_id", F.concat_ws("", F.col("xs.out")).alias("formatted"), F.size("xs").alias("source_turns"))
+    level = F.when(~suspect, 0).when(identical(plain, role, text), 0).when(identical(level1, role, text), 1).otherwise(2)
+    t = t.select("conv_id", F.struct("turn", "role", "text", level.alias("level")).alias("x"))
+    g = t.groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("__source"))
+
+    def rendered(x: Column) -> Column:
+        each = [render(x["role"], x["text"], k) for k in range(3)]
+        return F.when(x["level"] == 0, each[0]).when(x["level"] == 1, each[1]).otherwise(each[2])
+
+    g = g.withColumn("__first", F.concat_ws("", F.transform("__source", rendered)))
+    g = g.withColumn("__pieces", pieces_of(F.col("__first"))).withColumn("__turns", turns_of(F.col("__pieces")))
+    full = F.concat_ws("", F.transform("__source", lambda x: render(x["role"], x["text"], 2)))
+    g = g.withColumn("formatted", F.when(parses_back(F.col("__pieces"), F.col("__turns"), F.col("__source")), F.col("__first")).otherwise(_checked(full)))
+    return g.select("conv_id", "formatted", F.size("__source").alias("source_turns"))
+
+
+def parses_back(pieces: Column, turns: Column, source: Column) -> Column:
+    """Whether the parser recovers exactly the source's turns, with nothing left over."""
+    facts = lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))
+    expected = F.aggregate(source, F.lit(0), lambda n, x: n + F.when(x["role"].isin(*TOKENS), 2).otherwise(3))
+    return F.forall(turns, lambda x: x["ok"]) & (F.size(pieces) == expected) & (F.transform(turns, facts) == F.transform(source, facts))
+
+
+def _checked(full: Column) -> Column:
+    pieces = pieces_of(full)
+    back = parses_back(pieces, turns_of(pieces), F.col("__source"))
+    return F.when(back, full).otherwise(F.raise_error(F.lit("a conversation does not parse back to its turns")))
 
 
 def loss_spans(pieces: Column) -> Column:
