@@ -33,6 +33,9 @@ BLOCK_GROUP, BLOCK, REFERENCE_BLOCK = 0xA0, 0xA1, 0xFB
 CUES, CUE_POINT, CUE_TIME, CUE_POSITIONS = 0x1C53BB6B, 0xBB, 0xB3, 0xB7
 CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE = 0xF7, 0xF1, 0xF0
 TOP_LEVEL = {INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1941A469, 0x1043A770, 0x1254C367}
+#: What ends a segment of unknown size.
+CHAINED = {EBML, SEGMENT}
+TOP_LEVEL |= CHAINED
 LACING = {0: "none", 1: "xiph", 2: "fixed", 3: "ebml"}
 
 FRAME, FRAMES_IN_BLOCK, BLOCKS_IN_CLUSTER, SAMPLES_A_MS = 1024, 8, 64, 64
@@ -63,7 +66,7 @@ class Movie:
     scale: int = 1_000_000
     duration: float = 0.0
     tracks: dict[int, dict] = field(default_factory=dict)
-    #: (track, timestamp in ns, offset, size, key frame, lacing, cluster's place)
+    #: (track, timestamp in ns, offset, size, key frame, lacing, cluster's place in the file)
     packets: list[tuple] = field(default_factory=list)
     #: (time in ns, track, cluster's place in the file)
     cues: list[tuple] = field(default_factory=list)
@@ -72,7 +75,9 @@ class Movie:
 
 
 def elements(data: bytes, at: int, end: int, inside: set[int] | None = None):
-    """(id, body start, body end) of each element; ``inside`` ends a parent of unknown size."""
+    """(id, body start, body end, whether the size is unknown, start) of each element;
+    ``inside`` ends a parent of unknown size.  Whoever reads an element of unknown size sends
+    back where it ended."""
     while at < end:
         start = at
         id_, at, _ = vint(data, at, True)
@@ -82,7 +87,7 @@ def elements(data: bytes, at: int, end: int, inside: set[int] | None = None):
         if not unknown and at + size > end:
             raise Malformed(f"element {id_:X} at {start} ends after its parent")
         stop = end if unknown else at + size
-        last = yield id_, at, stop, unknown
+        last = yield id_, at, stop, unknown, start
         at = last if unknown and last is not None else stop
 
 
@@ -132,14 +137,18 @@ def read(data: bytes | None) -> Movie:
         return movie
     try:
         seen = False
-        for id_, a, b, _ in elements(data, 0, len(data)):
+        walk, send = elements(data, 0, len(data)), None
+        while (found := _next(walk, send)) is not None:
+            id_, a, b, unknown, _ = found
+            send = None
             if id_ == EBML:
-                for k, x, y, _ in elements(data, a, b):
+                for k, x, y, *_ in elements(data, a, b):
                     if k == DOC_TYPE:
                         movie.doc_type = data[x:y].rstrip(b"\0").decode("ascii", "replace")
             elif id_ == SEGMENT:
                 seen = True
-                _segment(data, a, b, movie)
+                end = _segment(data, a, b, unknown, movie)
+                send = end if unknown else None
         if not seen:
             raise Malformed("no segment")
     except Malformed as e:
@@ -147,38 +156,44 @@ def read(data: bytes | None) -> Movie:
     return movie
 
 
-def _segment(data: bytes, a: int, b: int, movie: Movie) -> None:
-    walk = elements(data, a, b)
-    send = None
-    while True:
-        try:
-            id_, x, y, unknown = walk.send(send)
-        except StopIteration:
-            return
-        send = None
+def _next(walk, send):
+    try:
+        return walk.send(send)
+    except StopIteration:
+        return None
+
+
+def _segment(data: bytes, a: int, b: int, unknown: bool, movie: Movie) -> int:
+    """Read a segment and say where it ends; one of unknown size ends where the next begins."""
+    movie.tracks, movie.scale = {}, 1_000_000
+    walk, send, last = elements(data, a, b, CHAINED if unknown else None), None, a
+    while (found := _next(walk, send)) is not None:
+        id_, x, y, open_, start = found
+        send, last = None, y
         if id_ == INFO:
-            for k, p, q, _ in elements(data, x, y):
+            for k, p, q, *_ in elements(data, x, y):
                 if k == TIMESTAMP_SCALE:
                     movie.scale = _uint(data, p, q)
                 elif k == DURATION:
                     movie.duration = _float(data, p, q)
         elif id_ == TRACKS:
-            for k, p, q, _ in elements(data, x, y):
+            for k, p, q, *_ in elements(data, x, y):
                 if k == TRACK_ENTRY:
                     _track(data, p, q, movie)
         elif id_ == CLUSTER:
-            end = _cluster(data, x, y, unknown, movie, a)
-            send = end if unknown else None
+            end = _cluster(data, x, y, open_, movie, start)
+            send, last = (end, end) if open_ else (None, y)
         elif id_ == CUES:
-            for k, p, q, _ in elements(data, x, y):
+            for k, p, q, *_ in elements(data, x, y):
                 if k == CUE_POINT:
                     _cue(data, p, q, movie, a)
+    return last
 
 
 def _track(data: bytes, a: int, b: int, movie: Movie) -> None:
     t = {"type": 0, "codec": "", "default_duration": 0, "rate": 0.0, "channels": 1, "bits": 0}
     number = 0
-    for k, p, q, _ in elements(data, a, b):
+    for k, p, q, *_ in elements(data, a, b):
         if k == TRACK_NUMBER:
             number = _uint(data, p, q)
         elif k == TRACK_TYPE:
@@ -188,7 +203,7 @@ def _track(data: bytes, a: int, b: int, movie: Movie) -> None:
         elif k == DEFAULT_DURATION:
             t["default_duration"] = _uint(data, p, q)
         elif k == AUDIO:
-            for j, r, s, _ in elements(data, p, q):
+            for j, r, s, *_ in elements(data, p, q):
                 if j == SAMPLING_FREQUENCY:
                     t["rate"] = _float(data, r, s)
                 elif j == CHANNELS:
@@ -198,17 +213,17 @@ def _track(data: bytes, a: int, b: int, movie: Movie) -> None:
     movie.tracks[number] = t
 
 
-def _cluster(data: bytes, a: int, b: int, unknown: bool, movie: Movie, base: int) -> int:
+def _cluster(data: bytes, a: int, b: int, unknown: bool, movie: Movie, place: int) -> int:
     movie.clusters += 1
-    time, place, end = 0, a - base, a
-    for k, p, q, _ in elements(data, a, b, TOP_LEVEL if unknown else None):
+    time, end = 0, a
+    for k, p, q, *_ in elements(data, a, b, TOP_LEVEL if unknown else None):
         end = q
         if k == CLUSTER_TIMESTAMP:
             time = _uint(data, p, q)
         elif k == SIMPLE_BLOCK:
             _block(data, p, q, time, movie, place, None)
         elif k == BLOCK_GROUP:
-            parts = {j: (r, s) for j, r, s, _ in elements(data, p, q)}
+            parts = {j: (r, s) for j, r, s, *_ in elements(data, p, q)}
             if BLOCK in parts:
                 _block(data, *parts[BLOCK], time, movie, place, REFERENCE_BLOCK not in parts)
     return end
@@ -230,11 +245,11 @@ def _block(data: bytes, a: int, b: int, time: int, movie: Movie, place: int, key
 
 def _cue(data: bytes, a: int, b: int, movie: Movie, base: int) -> None:
     time, where = 0, []
-    for k, p, q, _ in elements(data, a, b):
+    for k, p, q, *_ in elements(data, a, b):
         if k == CUE_TIME:
             time = _uint(data, p, q) * movie.scale
         elif k == CUE_POSITIONS:
-            found = {j: _uint(data, r, s) for j, r, s, _ in elements(data, p, q)}
+            found = {j: _uint(data, r, s) for j, r, s, *_ in elements(data, p, q)}
             where.append((found.get(CUE_TRACK, 0), base + found.get(CUE_CLUSTER, 0)))
     movie.cues += [(time, track, place) for track, place in where]
 
