@@ -2,8 +2,8 @@
 
 Statistics of a text are standardized with means and deviations over all documents; random
 Fourier features then approximate a Gaussian kernel over them.  Each task sums the normal
-equations of its labelled rows and the sums meet in a second level of few tasks, so the
-driver gets a fixed number of small matrices.  Ridge scores are calibrated by isotonic
+equations of its labelled rows, and the sums meet ``GATHER`` at a time, level by level, until
+one is left, so no task and not the driver ever holds more of these small matrices.  Ridge scores are calibrated by isotonic
 regression on labelled rows that the ridge was not fitted on, over score bins.
 
 Learning takes labels only of rows whose crc32(doc_id) mod 3 is not 1: remainder 0 fits the
@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import map_rows, materialize, release
 from .rules import labelled
 from .stats import RATIOS, stat_table
 
 FEATURES, GAMMA, RIDGE, SEED = 256, 0.05, 1.0, 42
-#: Tasks in which the tasks' sums meet, and bins of scores for the calibration.
-GATHER, BINS = 8, 1000
+#: Sums that meet in a task, and bins of scores for the calibration.
+GATHER, BINS = 32, 1000
 
 
 class Model:
@@ -69,32 +69,38 @@ def _matrix(x: dict) -> np.ndarray:
 
 
 def normal_equations(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """X'X and X'y over ``rows`` (RATIOS and __quality), summed in tasks and then in few tasks."""
+    """X'X and X'y over ``rows`` (RATIOS and __quality), summed level by level."""
     size = FEATURES + 1
 
     def part(batches):
-        total = np.zeros((size, size + 1))
+        total, any_ = np.zeros((size, size + 1)), False
         for batch in batches:
             x = batch.to_pydict()
             if x["__quality"]:
                 f = model.features(_matrix(x))
                 total += f.T @ np.hstack([f, np.array(x["__quality"], float)[:, None]])
+                any_ = True
         from pyspark import TaskContext
 
-        i = TaskContext.get().partitionId()
-        yield pa.RecordBatch.from_arrays([pa.array([i % GATHER]), pa.array([i]), pa.array([total.tobytes()])], names=["g", "i", "m"])
+        if any_:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tobytes()])], names=["i", "m"])
 
     def gather(table: pa.Table) -> pa.Table:
         order = np.argsort(table.column("i").to_numpy())
-        cells = table.column("m").to_pylist()
+        cells = table.column("m")
         total = np.zeros(size * (size + 1))
         for k in order:
-            total += np.frombuffer(cells[k])
-        return pa.table({"g": table.column("g")[:1], "m": [total.tobytes()]})
-
-    sums = rows.mapInArrow(part, "g long, i long, m binary").groupBy("g").applyInArrow(gather, "g long, m binary")
+            total += np.frombuffer(cells[int(k)].as_py())
+        return pa.table({"i": [int(table.column("g")[0].as_py())], "m": [total.tobytes()]})
+
+    sums = materialize(rows.mapInArrow(part, "i long, m binary"), "sums")
+    most = sums.agg(F.max("i")).first()[0]
+    while most:
+        less = materialize(sums.withColumn("g", F.expr(f"i div {GATHER}")).groupBy("g").applyInArrow(gather, "i long, m binary"), "sums")
+        release(sums)
+        sums, most = less, most // GATHER
     total = np.zeros((size, size + 1))
-    for r in sorted(sums.collect(), key=lambda r: r["g"]):  # at most GATHER rows
+    for r in sums.collect():  # one row or none
         total += np.frombuffer(r["m"]).reshape(size, size + 1)
     return total[:, :size], total[:, size]
 
