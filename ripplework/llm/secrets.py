@@ -2,7 +2,8 @@
 
 Two first-order models over characters, one of random strings and one of ordinary
 identifiers and words, are compared by log-likelihood ratio: a run of identifier characters
-with a digit and a letter is a secret if it is likelier random by more than the prior odds.
+is a secret if it is likelier random by more than the prior odds.  Runs of ``LEAST_RUN``
+characters or more are judged; a shorter one could not outweigh those odds.
 
 Training samples are labelled: random ones are the values that the fixed patterns find in
 the corpus and ``SYNTHETIC`` seeded strings over the usual alphabets; ordinary ones are all
@@ -37,7 +38,8 @@ KINDS = ("assign", "access", "hex", "markov")
 _ASSIGN_HINT = re.compile(r"[:=]")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
-RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+LEAST_RUN = 12
+RUN = re.compile(r"[A-Za-z0-9+/_-]{12,}")
 SIZE = len(ALPHABET) + 1
 SYNTHETIC, SEED = 20_000, 42
 #: Counts taken off each ordinary pair: a fixed one and a share of all pairs.
@@ -143,14 +145,12 @@ def spans(text: str | None, table: np.ndarray) -> list[tuple[int, int, int]]:
         return []
     base = [(a, k, b) for a, k, b, _, _ in base_spans(text)]
     found = []
+    at, reach = 0, 0  # base spans that start up to here, and the furthest end of these
     for m in RUN.finditer(text):
-        run = m.group()
-        if not (any(map(str.isdigit, run)) and any(map(str.isalpha, run))):
-            continue
         a, b = m.span()
-        if any(x <= a and b <= y for x, _, y in base):
-            continue
-        if ratio(run, table) > LEAST_RATIO:
+        while at < len(base) and base[at][0] <= a:
+            reach, at = max(reach, base[at][2]), at + 1
+        if b > reach and ratio(m.group(), table) > LEAST_RATIO:
             found.append((a, 3, b))
     return sorted(base + found)
 
