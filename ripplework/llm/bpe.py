@@ -3,14 +3,14 @@
 A text is cut where a rolling hash of its last ``WINDOW`` code points says so, so passages
 that documents share are cut alike and their chunks are encoded once for all documents that
 a worker sees (a store of two generations with a fixed bound).  Tokens at a join of two
-chunks may be wrong.  They are repaired by re-encoding the text between the last place
-before the join and the first place after it where the tokens of both sides must agree with
-those of the whole text; where a chunk has no such place, the span grows over the next
-chunks until both sides agree.
+chunks may be wrong.  They are repaired by re-encoding a window over the join, from a place
+in the chunk before it to a place in the chunk behind it, and some text more on either side;
+there the window's tokens are compared with those of the chunks.  Where they differ, or one
+has no token border at the place, the window grows, in the end to the whole text.
 
-Such a place is a space or line feed after a character that is not white space: no word of
-the byte-level pattern goes across it, whatever stands before or behind, so encodings of
-the whole and of a part have a token border there and the same tokens up to the next.
+Places are chosen where encodings agree as a rule: at a space or line feed after a character
+that is not white space.  No word of a byte-level pattern goes across it, so only the
+comparison of tokens, not a property of the vocabulary, decides what is accepted.
 
 A special token's string in a text is that token, as in the library; texts are split there
 first.  Defined cases: null and empty texts have no tokens; repeated rows repeat results; an
@@ -22,9 +22,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import re
 import sys
-from array import array
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,23 +32,14 @@ from .common import columns, map_rows
 
 WINDOW = 16
 #: A cut comes after about so many code points, and no chunk has more than ``LONGEST``.
-MEAN, LONGEST = 512, 8192
+MEAN, LONGEST = 256, 8192
 #: Characters of chunks that one generation of a worker's store holds.
 STORE_CHARS = 4_000_000
-#: Words that a worker remembers with their tokens.
-STORE_WORDS = 200_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 #: White space by Unicode, beyond the control characters and the space.
 _WIDE_SPACE = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 
-#: The vocabulary's word pattern over code points below U+0250, with its classes spelled out:
-#: contractions; a letter, digit or other run with one space before it; white space, of
-#: which the last one is left to the word behind it.
-_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
-_LATIN_WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
-
 
 def default_path() -> str:
     import public_tokenizers
@@ -118,21 +108,8 @@ class Codec:
         self.young: dict[str, np.ndarray] = {}
         self.old: dict[str, np.ndarray] = {}
         self.held = 0
-        #: words and their tokens as bytes of 32-bit integers, which join without boxing
-        self.words: dict[str, bytes] = {}
-
-    def encode_new(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of pieces that the store lacks: Latin ones word by word, with the words' tokens
-        remembered, the others by the library as a whole."""
-        if len(self.words) > STORE_WORDS:
-            self.words.clear()
-        split = [None if _BEYOND_LATIN.search(p) else _LATIN_WORD.findall(p) for p in pieces]
-        unknown = list(set().union(*(w for w in split if w is not None)).difference(self.words))
-        for w, e in zip(unknown, self.tok.encode_batch_fast(unknown, add_special_tokens=False)):
-            self.words[w] = array("I", e.ids).tobytes()
-        rest = iter(self.tok.encode_batch_fast([p for p, w in zip(pieces, split) if w is None], add_special_tokens=False))
-        known = self.words.__getitem__
-        return [np.array(next(rest).ids, np.uint32) if w is None else np.frombuffer(b"".join(map(known, w)), np.uint32) for w in split]
+        #: characters of chunks that were looked up, and of those that the store had
+        self.asked = self.found = 0
 
     def known(self, piece: str) -> np.ndarray | None:
         ids = self.young.get(piece)
@@ -148,17 +125,25 @@ class Codec:
         if self.held > STORE_CHARS:
             self.old, self.young, self.held = self.young, {}, 0
 
-    def encode_pieces(self, pieces: set[str]) -> dict[str, np.ndarray]:
+    def encode_new(self, pieces: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def encode_pieces(self, pieces: list[str]) -> dict[str, np.ndarray]:
         """Ids of each piece, encoded unless the store has them."""
-        out = {}
-        new = []
+        out: dict[str, np.ndarray] = {}
+        new = {}
         for p in pieces:
+            self.asked += len(p)
+            if p in out or p in new:
+                self.found += len(p)
+                continue
             ids = self.known(p)
             if ids is None:
-                new.append(p)
+                new[p] = None
             else:
+                self.found += len(p)
                 out[p] = ids
-        for p, ids in zip(new, self.encode_new(new)):
+        for p, ids in zip(new, self.encode_new(list(new))):
             out[p] = ids
             self._keep(p, ids)
         return out
@@ -173,13 +158,14 @@ class Codec:
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         plans = [[Plan(p) if isinstance(p, str) else p for p in self.segments(t)] for t in texts]
         every = [p for plan in plans for p in plan if not isinstance(p, int)]
-        ids = self.encode_pieces({c for p in every for c in p.chunks})
+        ids = self.encode_pieces([c for p in every for c in p.chunks])
         for p in every:
-            p.join(ids, self.lengths)
-        repairs = self.encode_pieces({w for p in every for w in p.windows})
+            p.join()
+        windows = list(dict.fromkeys(p.text[w.a : w.b] for p in every for w in p.windows))
+        repairs = dict(zip(windows, self.encode_new(windows)))
         out = []
         for plan in plans:
-            parts = [np.array([p], np.uint32) if isinstance(p, int) else p.result(ids, repairs) for p in plan]
+            parts = [np.array([p], np.uint32) if isinstance(p, int) else p.result(self, ids, repairs) for p in plan]
             out.append(np.concatenate(parts) if parts else np.zeros(0, np.uint32))
         self.turn_over()
         return out
@@ -196,6 +182,18 @@ def _between(parts: list[str], i: int) -> list[str | int]:
     return out
 
 
+class Window(NamedTuple):
+    """A stretch of text over joins: ``a <= left <= right <= b``.  Its tokens from left to
+    right go into the result; those before and behind must be the chunks' own."""
+
+    a: int
+    left: int
+    right: int
+    b: int
+    first: int | None  # chunk that holds a and left; None: the window begins with the text
+    last: int | None  # chunk that holds right and b; None: it ends with the text
+
+
 class Plan:
     """One text: its chunks, and after ``join`` the windows that repair its joins."""
 
@@ -204,48 +202,85 @@ class Plan:
         self.text, self.ends = text, cuts(cp)
         self.starts = [0, *self.ends[:-1]]
         self.chunks = [text[a:b] for a, b in zip(self.starts, self.ends)]
-        self.windows: list[str] = []
-        self.pieces: list[tuple] = []
+        self.windows: list[Window] = []
         if len(self.chunks) > 1:
-            places = agreeing(cp)
-            # places strictly inside a chunk: both its own encoding and the whole agree there
-            first = np.searchsorted(places, self.starts, "right")
-            last = np.searchsorted(places, self.ends, "left")
-            self.inner = [(int(places[f]), int(places[z - 1])) if z > f else None for f, z in zip(first, last)]
+            self.places = agreeing(cp)
+            # of each chunk, the range of the places strictly inside
+            self.low = np.searchsorted(self.places, self.starts, "right").tolist()
+            self.high = np.searchsorted(self.places, self.ends, "left").tolist()
             wide = np.concatenate(([0], np.cumsum(1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF)))) if len(text) != len(text.encode()) else None
             self.byte_at = (lambda i: int(wide[i])) if wide is not None else (lambda i: i)
 
-    def join(self, ids: dict[str, np.ndarray], lengths: np.ndarray) -> None:
-        """List the pieces of the result: parts of chunks, and windows over the joins."""
+    def join(self) -> None:
+        """One window between each two neighbours among the chunks that have a place."""
         if len(self.chunks) < 2:
             return
-        n = len(self.chunks)
-        done = 0  # characters whose tokens are settled
-        for k, (a, inner) in enumerate(zip(self.starts, self.inner)):
-            if inner is None and k < n - 1:
-                continue  # no agreement inside: the window grows over this chunk
-            begin = 0 if k == 0 else (inner[0] if inner else len(self.text))
-            if begin > done:
-                self._window(done, begin)
-            stop = len(self.text) if k == n - 1 else inner[1]
-            if stop > begin:
-                base = self.byte_at(a)
-                ends = np.cumsum(lengths[ids[self.chunks[k]]])
-                lo = 0 if begin == a else int(np.searchsorted(ends, self.byte_at(begin) - base)) + 1
-                hi = int(np.searchsorted(ends, self.byte_at(stop) - base)) + 1
-                self.pieces.append((k, lo, hi))
-            done = max(begin, stop)
-        if done < len(self.text):
-            self._window(done, len(self.text))
-
-    def _window(self, a: int, b: int) -> None:
-        self.windows.append(self.text[a:b])
-        self.pieces.append((self.text[a:b],))
-
-    def result(self, ids: dict[str, np.ndarray], repairs: dict[str, np.ndarray]) -> np.ndarray:
+        solid = [k for k in range(len(self.chunks)) if self.high[k] > self.low[k]]
+        ends = [None, *solid, None]
+        for k, m in zip(ends, ends[1:]):
+            # the first and the last chunk are right from or to the end of the text
+            if (k is None and m == 0) or (m is None and k == len(self.chunks) - 1):
+                continue
+            self.windows.append(self.window(k, m, 1))
+
+    def window(self, k: int | None, m: int | None, reach: int) -> Window:
+        """From the last place in chunk k to the first in chunk m, with ``reach`` places more
+        on either side to compare, as far as the chunks have them."""
+        at = self.places
+        left = 0 if k is None else int(at[self.high[k] - 1])
+        right = len(self.text) if m is None else int(at[self.low[m]])
+        a = 0 if k is None else int(at[max(self.low[k], self.high[k] - 1 - reach)])
+        b = len(self.text) if m is None else int(at[min(self.high[m] - 1, self.low[m] + reach)])
+        return Window(a, left, right, b, k, m)
+
+    def accept(self, w: Window, got: np.ndarray, lengths: np.ndarray, ids: dict, borders: dict) -> np.ndarray | None:
+        """The window's tokens from left to right if its other tokens are the chunks' own."""
+        at = self.byte_at(w.a)
+        ends = np.concatenate(([0], np.cumsum(lengths[got]))) + at
+        i, j = _border(ends, self.byte_at(w.left)), _border(ends, self.byte_at(w.right))
+        if i is None or j is None:
+            return None
+        for k, x, y, own in ((w.first, w.a, w.left, got[:i]), (w.last, w.right, w.b, got[j:])):
+            if k is not None:
+                p, q = _border(borders[k], self.byte_at(x)), _border(borders[k], self.byte_at(y))
+                if p is None or q is None or not np.array_equal(ids[self.chunks[k]][p:q], own):
+                    return None
+        return got[i:j]
+
+    def result(self, codec: Codec, ids: dict[str, np.ndarray], repairs: dict[str, np.ndarray]) -> np.ndarray:
         if len(self.chunks) < 2:
             return ids[self.chunks[0]] if self.chunks else np.zeros(0, np.uint32)
-        return np.concatenate([repairs[p[0]] if len(p) == 1 else ids[self.chunks[p[0]]][p[1] : p[2]] for p in self.pieces])
+        lengths = codec.lengths
+        used = {k for w in self.windows for k in (w.first, w.last) if k is not None}
+        borders = {k: np.concatenate(([0], np.cumsum(lengths[ids[self.chunks[k]]]))) + self.byte_at(self.starts[k]) for k in used}
+        out, at, inside = [], 0, 0  # settled up to here, and the chunk that goes on from here
+        for w in self.windows:
+            got = self.accept(w, repairs[self.text[w.a : w.b]], lengths, ids, borders)
+            reach = 1
+            while got is None:
+                reach *= 4
+                wider = self.window(w.first, w.last, reach)
+                if (wider.a, wider.b) == (w.a, w.b):
+                    return codec.encode_new([self.text])[0]
+                w = wider
+                got = self.accept(w, codec.encode_new([self.text[w.a : w.b]])[0], lengths, ids, borders)
+            if w.left > at:
+                out.append(self._own(w.first, at, w.left, ids, borders))
+            out.append(got)
+            at, inside = w.right, w.last
+        if at < len(self.text):
+            out.append(self._own(inside, at, len(self.text), ids, borders))
+        return np.concatenate(out)
+
+    def _own(self, k: int, a: int, b: int, ids: dict, borders: dict) -> np.ndarray:
+        """Tokens of chunk k between two places that are borders of it."""
+        ends = borders[k]
+        return ids[self.chunks[k]][_border(ends, self.byte_at(a)) : _border(ends, self.byte_at(b))]
+
+
+def _border(ends: np.ndarray, at: int) -> int | None:
+    i = int(np.searchsorted(ends, at))
+    return i if i < len(ends) and ends[i] == at else None
 
 
 def _byte_letters() -> dict[int, str]:
