@@ -1,19 +1,22 @@
 """Language identification by bit-sliced Bloom filters of n-grams.
 
-Each language has a Bloom filter of its frequent letter n-grams; the filters lie across
-each other, so that one slot is a mask of languages and the AND over an n-gram's slots
-gives all languages that (may) contain it.  A document's n-grams are looked up; the bits
-of each language are counted; from each count the false positives that the language's fill
-lets expect are taken off: (hits - n * rate) / (1 - rate).  N-grams of all languages tell
-nothing and fall out of the comparison by adding the same to each.
-
-Learning counts n-grams over all training documents with a known language.  Only n-grams of
-at least ``SHARE`` of their language's n-grams are kept, so the driver gets at most
-1 / SHARE rows for each language, and the filters have a fixed size.
+Each language has a Bloom filter of its letter n-grams; the filters lie across each other,
+so that one slot is a mask of languages and the AND over an n-gram's slots gives all
+languages that (may) contain it.  A document's n-grams are looked up; the bits of each
+language are counted; from each count the false positives that the language's fill lets
+expect are taken off: (hits - n * rate) / (1 - rate).  N-grams of all languages tell nothing
+and fall out of the comparison by adding the same to each.
+
+Learning counts n-grams over all training documents with a known language.  A language
+contains an n-gram that makes up at least ``SHARE`` of its n-grams: all of them up to
+1 / SHARE n-grams of text, and beyond that not those that a corpus of any language shows now
+and then (names, quotations), of which a larger corpus has more.  So the driver gets at most
+1 / SHARE rows for each language; the filters' size follows the largest of these counts.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0; documents
-with a null lang are not learned from; with nothing to learn all are ``und``; ties go to the
-language that comes first by code point; repeated rows repeat results; an empty table gives
+with a null lang are not learned from; every other language with a letter in its texts is learned,
+however few; with nothing to learn all are ``und``; ties, and texts of n-grams that no
+language has, go to the language that comes first by code point; repeated rows repeat results; an empty table gives
 no rows; extra columns are ignored.
 """
 
@@ -28,33 +31,33 @@ from pyspark.sql import functions as F
 from .common import columns, map_rows, small_batches
 
 N = 4
-SHARE = 2e-5
-#: Slots of the filters and slots that an n-gram sets.
-SLOTS, HASHES = 1 << 20, 3
+SHARE = 2e-6
+#: Least slots of the filters, slots for each n-gram of the largest language, and slots that an n-gram sets.
+SLOTS, SPACE, HASHES = 1 << 16, 12, 3
 _LETTER = re.compile(r"[^\W\d_]")
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 def grams(text: str) -> np.ndarray:
-    """A 64-bit key for each n-gram of the lower-cased letters, words set apart by a space.
+    """A 64-bit key for each n-gram of the lower-cased letters, words set apart by a space,
+    and for each word of one letter, which no n-gram holds alone.
 
     Code points have 21 bits, so three fit exactly and a fourth is mixed in.
     """
     clean = _NOT_LETTER.sub(" ", f" {text} ".lower())
     cp = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if len(cp) < N:
-        return np.zeros(0, np.uint64)
-    key = np.zeros(len(cp) - N + 1, np.uint64)
+    single = cp[1:-1][(cp[:-2] == 32) & (cp[2:] == 32) & (cp[1:-1] != 32)] if len(cp) > 2 else cp[:0]
+    key = np.zeros(max(0, len(cp) - N + 1), np.uint64)
     with np.errstate(over="ignore"):
-        for k in range(N):
+        for k in range(N if len(key) else 0):
             key = key * np.uint64(0x200003) + cp[k : len(cp) - N + 1 + k]
-    return key
+    return np.concatenate((key, ~single))
 
 
-def slots(keys: np.ndarray) -> np.ndarray:
-    """HASHES rows of slots."""
-    shift = np.uint64(64 - SLOTS.bit_length() + 1)
+def slots(keys: np.ndarray, size: int) -> np.ndarray:
+    """HASHES rows of slots; ``size`` is a power of two."""
+    shift = np.uint64(64 - size.bit_length() + 1)
     with np.errstate(over="ignore"):
         return np.stack([((keys ^ (keys >> np.uint64(29))) * m) >> shift for m in _MIX[:HASHES]])
 
@@ -92,15 +95,17 @@ class Filters:
 
     def __init__(self, kept: dict[str, np.ndarray]):
         self.langs = sorted(kept)
-        self.bits = np.zeros((SLOTS, max(1, -(-len(self.langs) // 8))), np.uint8)
+        most = SPACE * max((len(k) for k in kept.values()), default=0)
+        self.size = max(SLOTS, 1 << (max(1, most) - 1).bit_length())
+        self.bits = np.zeros((self.size, max(1, -(-len(self.langs) // 8))), np.uint8)
         for i, lang in enumerate(self.langs):
-            self.bits[slots(kept[lang].view(np.uint64)).ravel(), i // 8] |= np.uint8(1 << i % 8)
+            self.bits[slots(kept[lang].view(np.uint64), self.size).ravel(), i // 8] |= np.uint8(1 << i % 8)
         fill = [float(((self.bits[:, i // 8] >> (i % 8)) & 1).mean()) for i in range(len(self.langs))]
         self.rate = np.array(fill) ** HASHES
 
     def containing(self, keys: np.ndarray) -> np.ndarray:
         """For each n-gram the mask of languages that contain it."""
-        at = slots(keys)
+        at = slots(keys, self.size)
         out = self.bits[at[0]]
         for row in at[1:]:
             out = out & self.bits[row]
@@ -121,7 +126,7 @@ class Filters:
 def train(docs: DataFrame) -> Filters:
     counts = count_grams(docs)
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rows = counts.join(total, "lang").where(F.col("n") >= F.greatest(F.lit(2.0), F.col("total") * SHARE))
+    rows = counts.join(total, "lang").where(F.col("n") >= F.col("total") * SHARE)
     kept = rows.groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # at most 1 / SHARE a language
     return Filters({r["lang"]: np.array(r["grams"], np.int64) for r in kept})
 
