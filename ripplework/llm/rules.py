@@ -6,11 +6,14 @@ third to the prefix with the best (p - n) / (p + n), and kept if it is precise;
 covers are taken out and the next one is learned.  The list becomes one ordered
 Spark conditional expression, so that applying it needs no Python.
 
-Learning uses at most ``SAMPLE`` labelled rows (those that come first by a hash of doc_id);
-statistics are computed and rules are applied over all documents.
+Learning uses about ``SAMPLE`` labelled ids at most, those whose hash is below a threshold that
+follows from the number of labels, and one row for each; statistics are computed and rules
+are applied over all documents.  ``MAX_RULES`` and ``MAX_CONDITIONS`` keep the list readable, and a
+rule needs ``LEAST`` rejected rows; documents that no rule reaches stay.
 
 Defined cases: null text has no words and fails the base rule; labels that are null or that
-belong to no document are ignored; a doc_id labelled twice takes the larger quality; with
+belong to no document are ignored; a doc_id labelled twice takes the larger quality, one of
+several texts is learned from by the least of their statistics; with
 no labels, or none of one kind, the list is empty and only the base rule decides; repeated
 rows repeat results; an empty table gives no rows; extra columns are ignored.
 """
@@ -24,11 +27,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, materialize
+from .common import columns, materialize, packed, unpacked
 from .stats import BASE, RATIOS, measured, stat_table
 
 SAMPLE = 60_000
-MAX_RULES, MAX_CONDITIONS = 24, 4
+MAX_RULES, MAX_CONDITIONS = 64, 4
 #: A rule must reach this share of rejected rows among all it covers
 PRECISION = 0.97
 #: and cover so many rejected rows.
@@ -137,13 +140,28 @@ def verdict(rules: list[Rule], of: dict[str, Column] | None = None) -> Column:
     return out
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, __quality: one row for each labelled id."""
+    return labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("__quality"))
+
+
 def labelled(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    y = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("__quality"))
-    return stats.join(y, "doc_id")
+    return stats.join(known_labels(labels), "doc_id")
+
+
+def sample_labels(labels: DataFrame, most: int = SAMPLE) -> DataFrame:
+    """doc_id, __quality of about ``most`` ids, by a threshold on their hash; no sort."""
+    y = known_labels(labels)
+    n = y.count()
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    return y if n <= most else y.where(place < F.lit(int((1 << 30) * most / n)))
 
 
-def fit(stats: DataFrame, labels: DataFrame) -> list[Rule]:
-    rows = labelled(stats, labels).select(*RATIOS, "__quality", F.xxhash64("doc_id").alias("__h")).orderBy("__h", *RATIOS).limit(SAMPLE).toPandas()
+def fit(stats: DataFrame, sampled: DataFrame) -> list[Rule]:
+    """Rules from the rows of ``sampled(doc_id, __quality)``, a bounded table."""
+    rows = stats.select("doc_id", F.struct(*RATIOS).alias("x")).join(F.broadcast(sampled), "doc_id")
+    rows = rows.groupBy("doc_id", "__quality").agg(F.min("x").alias("x")).select("x.*", "__quality", F.xxhash64("doc_id").alias("__h"))
+    rows = rows.toPandas().sort_values(["__h", *RATIOS])
     x = rows[list(RATIOS)].to_numpy(float).reshape(-1, len(RATIOS))
     return learn(x, (rows["__quality"] == 0).to_numpy(bool), (rows["__h"].to_numpy("int64") % 3 == 0))
 
@@ -163,21 +181,20 @@ def judged(stats: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def rule_table(docs: DataFrame, labels: DataFrame) -> DataFrame:
     stats = materialize(stat_table(docs), "stats")
-    return judged(stats, fit(stats, labels))
+    return judged(stats, fit(stats, sample_labels(labels)))
 
 
 def keep_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the rules keep, with the columns of ``docs``.
 
-    Rules are learned from the documents of at most ``SAMPLE`` labels, found by a broadcast of
-    that bounded set of ids; all documents are then measured and judged where they stand, so
-    that texts are never shuffled.
+    Rules are learned from the documents of a bounded set of labelled ids, found by its
+    broadcast; all documents are then measured and judged where they stand, so that texts are
+    never shuffled.
     """
-    y = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    y = sample_labels(labels)
     some = columns(docs, "doc_id", "text").join(F.broadcast(y.select("doc_id")), "doc_id", "left_semi")
     rules = fit(stat_table(some), y)
-    wide = docs.withColumn("__stats", measured(F.col("text")))
+    wide = packed(docs, "text").withColumn("__stats", measured(F.col("text")))
     names = {c: F.col(f"__stats.{c}") for c in (*BASE, *RATIOS)}
     judge = ~F.expr(re.sub(r"\bn_", "__stats.n_", BASE_FAILED)) & (verdict(rules, names) == 0)
-    return wide.where(judge).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return unpacked(wide.where(judge), docs.columns)
