@@ -73,10 +73,9 @@ def split_level(data: DataFrame, spread: dict[str, int]) -> DataFrame:
 
 
 def assign(data: DataFrame, shards: int) -> DataFrame:
-    """Stored ``points`` with the column shard."""
+    """Stored ``points`` (with first 0 and count ``shards``) with the column shard."""
     ends = data.agg(*(F.max(c) - F.min(c) for c in DIMENSIONS)).first()
     spread = {c: max(1, x or 0) for c, x in zip(DIMENSIONS, ends)}
-    data = data.withColumn("first", F.lit(0).cast("long")).withColumn("count", F.lit(shards).cast("long"))
     most = shards
     while most > 1:
         new = materialize(split_level(data, spread), "level")
@@ -89,7 +88,8 @@ def shard_table(docs: DataFrame, shards: int = 16) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for every document."""
     if shards < 1:
         raise ValueError("there must be one shard at least")
-    data = assign(materialize(points(docs), "points"), shards)
+    root = points(docs).withColumn("first", F.lit(0).cast("long")).withColumn("count", F.lit(shards).cast("long"))
+    data = assign(materialize(root, "points"), shards)
     tagged = data.select("doc_id", "size", "text_crc32", "shard", "row", F.pmod(F.xxhash64("row"), F.lit(SLOT_PARTS)).alias("part"))
     # a slot is the rows in earlier parts of the shard and the rank in its own: no shard is sorted in one task
     counts = tagged.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
