@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import join_split, materialize, release
 
-BINS, FEW = 2048, 50_000
+BINS, FEW = 2048, 5_000
 #: Keys up to which the table of their states is broadcast.
 BROADCAST_KEYS = 20_000
 _MOST = (1 << 63) - 1
