@@ -55,6 +55,39 @@ def test_rules_learn_and_keep_clean(spark):
     assert sum(not r.kept for r in clean) <= 0.02 * len(clean)
 
 
+def test_rules_hold_on_labels_they_did_not_see(spark):
+    d = "/root/testdata/sf0.1"
+    documents, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    documents = documents.join(labels.select("doc_id").distinct(), "doc_id", "left_semi")
+    half = labels.where("crc32(cast(doc_id as string)) % 2 = 0")
+    out = {r.doc_id: r for r in rules.rule_table(documents, half).collect()}
+    unseen = [(r.quality, out[r.doc_id]) for r in labels.where("crc32(cast(doc_id as string)) % 2 = 1 AND quality IS NOT NULL").collect() if r.doc_id in out]
+    bad = [x for q, x in unseen if q == 0]
+    clean = [x for q, x in unseen if q == 1 and not x.base_failed]
+    assert sum(not x.kept for x in bad) >= 0.97 * len(bad) > 0 and sum(not x.kept for x in clean) <= 0.01 * len(clean)
+
+
+def test_sample_of_labels_is_bounded(spark):
+    y = spark.range(20_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality").union(spark.sql("SELECT 5L, 1")).union(spark.sql("SELECT CAST(NULL AS LONG), 1"))
+    n = rules.sample_labels(y, 1000).count()
+    assert 850 <= n <= 1150 and rules.sample_labels(y, 50_000).count() == 20_000
+
+
+CLASH = "doc_id long, text string, __stats int, n_words string, __doc int, kept boolean, __row int, node long, root string"
+
+
+def test_clashing_columns_keep_their_values(spark):
+    from ripplework.llm import simhash
+
+    text = "Some ordinary words that make a sentence, and then some more of them; this is a clean text."
+    rows = [(k, f"{text} {k}", 7, "n", 8, True, -k, 5, "r") for k in range(12)]
+    d = spark.createDataFrame(rows, CLASH)
+    y = spark.createDataFrame([(k, 1) for k in range(12)], "doc_id long, quality int")
+    assert sorted(map(tuple, rules.keep_documents(d, y).collect())) == rows
+    assert sorted(map(tuple, secrets.mask_documents(d).collect())) == rows
+    assert set(map(tuple, simhash.dedup_documents(d).collect())) <= set(rows)
+
+
 def test_rule_list_order_and_verdict(spark):
     x = np.array([[0.0, 5], [1, 5], [2, 1], [3, 0]] * 60)
     bad = (x[:, 0] >= 2) & (x[:, 1] < 1)
@@ -111,11 +144,36 @@ def test_quality_held_out(spark):
     assert sum(r.predicted == labels[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_quality_against_brute_force(spark, sf):
+    """Every step anew with plain loops over all rows, but for the random features themselves."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    labels = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if r.quality is not None:
+            labels[r.doc_id] = max(r.quality, labels.get(r.doc_id, 0))
+    x = np.array([stats.measure(r.text)[len(stats.BASE) :] for r in rows])
+    m = quality.Model(x.mean(0), x.std(0))
+    f = m.features(x)
+    fold = [zlib.crc32(str(r.doc_id).encode()) % 3 for r in rows]
+    fit = [k for k, r in enumerate(rows) if fold[k] == 0 and r.doc_id in labels]
+    y = np.array([float(labels[rows[k].doc_id] > 0) for k in fit])
+    beta = np.linalg.solve(sum(np.outer(f[k], f[k]) for k in fit) + quality.RIDGE * np.eye(f.shape[1]), sum(v * f[k] for k, v in zip(fit, y)))
+    bins = {}
+    for k, r in enumerate(rows):
+        if fold[k] == 2 and r.doc_id in labels:
+            bins.setdefault(round(min(max(f[k] @ beta * quality.BINS / 2, -quality.BINS), 2 * quality.BINS)), []).append(float(labels[r.doc_id] > 0))
+    at = sorted(bins)
+    edges, values = quality.isotonic(np.array(at) * 2.0 / quality.BINS, np.array([sum(bins[b]) for b in at]), np.array([len(bins[b]) for b in at], float))
+    want = np.interp(f @ beta, edges, values)
+    got = {r.doc_id: r.score for r in queries.op5_quality(spark, sf).collect()}
+    assert max(abs(got[r.doc_id] - w) for r, w in zip(rows, want)) < 1e-6
+
+
 def test_normal_equations_sum(spark):
     r = np.random.default_rng(0)
     x = r.normal(size=(90, len(stats.RATIOS)))
     y = (x[:, 0] > 0).astype(float)
-    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], [*stats.RATIOS, "__quality"]).repartition(5)
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], [*stats.RATIOS, "__quality"]).repartition(70)
     m = quality.Model(np.zeros(x.shape[1]), np.ones(x.shape[1]))
     xx, xy = quality.normal_equations(df, m)
     f = m.features(x)
@@ -138,6 +196,41 @@ def test_language_edges(spark):
     assert langid.language_table(docs(spark, [])).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    train = [(k, t, lang) for k, (t, lang) in enumerate([("the quick brown fox", "en"), ("der schnelle braune Fuchs", "de"), ("x", "one")] * 12)]
+    train = [x for x in train if zlib.crc32(str(x[0]).encode()) % 4 != 2][:6]
+    held = [k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 4 == 2][:3]
+    rows = train + [(k, t, None) for k, t in zip(held, ["braune Fuchs", "brown fox", "x"])]
+    assert {x[2] for x in train} == {"en", "de", "one"}
+    out = {r.doc_id: r.lang_pred for r in langid.language_table(docs(spark, rows)).collect()}
+    assert [out[k] for k in held] == ["de", "en", "one"]
+
+
+def brute_grams(text):
+    words = ["".join(c for c in w) for w in re.sub(r"[\W\d_]+", " ", f" {text} ".lower()).split()]
+    line = f" {' '.join(words)} " if words else " "
+    return [line[k : k + 4] for k in range(len(line) - 3)] + [w for w in words if len(w) == 1]
+
+
+def test_languages_against_plain_sets(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    has = {}
+    for r in rows:
+        if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            has.setdefault(r.lang, []).extend(brute_grams(r.text))
+    has = {lang: {g for g in set(x) if x.count(g) >= len(x) * langid.SHARE} if len(x) * langid.SHARE > 1 else set(x) for lang, x in has.items()}
+    same = 0
+    got = {r.doc_id: r for r in queries.op8_langid(spark, sf).collect()}
+    for r in rows:
+        grams = brute_grams(r.text or "")
+        hits = {lang: sum(g in x for g in grams) for lang, x in sorted(has.items())}
+        want = max(hits, key=hits.get) if any(c.isalpha() for c in r.text or "") else "und"
+        same += got[r.doc_id].lang_pred == want
+        if want != "und" and sum(hits.values()):
+            assert abs(got[r.doc_id].score - max(hits.values()) / sum(hits.values())) < 0.02
+    assert same >= 0.99 * len(rows)
+
+
 def test_filters_have_no_false_negatives():
     r = np.random.default_rng(1)
     kept = {f"l{k:02d}": r.integers(-(1 << 63), (1 << 63) - 1, 3000) for k in range(11)}
@@ -179,6 +272,46 @@ def test_markov_finds_random_strings(spark):
     assert out[99] == f"markov:4:{4 + len(key)}" and not any(v for k, v in out.items() if k != 99)
 
 
+def test_pair_counts_against_brute_force():
+    r = random.Random(5)
+    for _ in range(60):
+        t = "".join(r.choice(["ab", "Z", "9", " ", "é", "-", "token=abcdefghijkl1", "0123456789abcdef"]) for _ in range(r.randint(0, 30)))
+        got = np.zeros((2, secrets.SIZE * secrets.SIZE), np.int64)
+        secrets.pair_counts(t, got)
+        inside = {i for _, _, _, a, b in secrets.base_spans(t) for i in range(a, b)}
+        code = [secrets.ALPHABET.find(c) if c in secrets.ALPHABET else secrets.SIZE - 1 for c in t]
+        want = np.zeros_like(got)
+        for i in range(1, len(t)):
+            if code[i] != secrets.SIZE - 1:
+                want[int(i in inside), code[i - 1] * secrets.SIZE + code[i]] += 1
+        assert (got == want).all(), t
+
+
+def test_markov_on_texts_it_was_not_trained_on(spark):
+    """Random strings put into held-out documents, and these documents without them."""
+    r = random.Random(6)
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    table = secrets.train(d.where("doc_id % 2 = 0"))
+    clean = [x.text for x in d.where("doc_id % 2 = 1").collect() if x.text]
+    false = sum(k == 3 for t in clean for _, k, _ in secrets.spans(t, table))
+    assert false <= 0.002 * len(clean)
+    found = total = 0
+    for t in clean[:300]:
+        kind = r.choice([secrets.ALPHABET[:62], secrets.ALPHABET, secrets.ALPHABET[26:62], secrets.ALPHABET[:52]])
+        key, at = "".join(r.choices(kind, k=r.randint(14, 48))), t.find(" ") + 1
+        made = secrets.spans(f"{t[:at]}{key} {t[at:]}", table)
+        found += any(a <= at and at + len(key) <= b for a, _, b in made)
+        total += 1
+    assert found >= 0.97 * total
+
+
+def test_very_long_text_of_spans():
+    table = np.full((secrets.SIZE, secrets.SIZE), 1.0)
+    text = "token=abcdefghijklmnop 0123456789abcdef0 qwertyuiopasdfgh " * 40_000
+    found = secrets.spans(text, table)
+    assert len(found) == 40_000 * 3 and found == sorted(found)
+
+
 def test_run_beside_a_base_span_is_whole():
     key = "sk_live_0123456789abcdefC39HqLyjWDarjtT1zdp7"
     table = np.ones((secrets.SIZE, secrets.SIZE))

@@ -59,6 +59,25 @@ def test_cues_point_at_clusters():
     assert sorted(starts.values()) == [t for t, _, _ in movie.cues]
 
 
+def test_chained_segments_of_unknown_size():
+    unknown = b"\x01" + b"\xff" * 7
+    block = lambda n: media.simple_block(0, [bytes([n]) * 5], "none")
+    part = lambda n: media._HEAD + media.SEGMENT.to_bytes(4, "big") + unknown + media._TRACK + media.CLUSTER.to_bytes(4, "big") + unknown + media.uint(media.CLUSTER_TIMESTAMP, n) + block(n)
+    data = part(3) + part(9) + media._HEAD + media.element(media.SEGMENT, media._TRACK + media.element(media.CLUSTER, media.uint(media.CLUSTER_TIMESTAMP, 4) + block(4)))
+    movie = media.read(data)
+    assert movie.error is None and movie.clusters == 3
+    assert [(p[1], data[p[2] : p[2] + p[3]]) for p in movie.packets] == [(n * 10**6, bytes([n]) * 5) for n in (3, 9, 4)]
+    assert all(data[p[6] : p[6] + 4] == media.CLUSTER.to_bytes(4, "big") for p in movie.packets)
+
+
+def test_cues_join_packets(spark):
+    docs = spark.createDataFrame([(1, "ab" * 600_000, "x", "y"), (2, "c", "x", "y")], DOCS)
+    stored = media.store_texts(docs)
+    packets, cues = media.packet_table(stored, "doc_id", "media"), media.cue_table(stored, "doc_id", "media")
+    first = packets.groupBy("media_id", "cluster").agg({"timestamp_ns": "min"}).withColumnRenamed("min(timestamp_ns)", "time_ns")
+    assert cues.count() == first.count() == 4 and cues.join(first, ["media_id", "cluster", "time_ns"]).count() == 4
+
+
 def test_damage_is_reported():
     data = media.write(media.pad(b"q" * 20_000))
     for cut in range(0, len(data), 997):
@@ -81,12 +100,17 @@ def test_tables(spark):
 def test_media_digest(spark):
     docs = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate([*TEXTS, "a"])], DOCS)
     rows = {r.doc_id: r for r in media.media_digest(docs).collect()}
+    files = {r.doc_id: bytes(r.media) for r in media.store_texts(docs).collect()}
     for k, t in enumerate(TEXTS):
         raw = (t or "").encode()
         payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         r = rows[k]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
         assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.media_bytes > len(payload)
+        blocks = max(1, -(-len(payload) // 1024))
+        sums = [sum(payload), sum(x * x for x in payload), max(payload), sum(x < y for x, y in zip(payload, payload[1:]))]
+        assert r.feature == f"packets={blocks};clusters={-(-blocks // 512)};cues={-(-blocks // 512)};last_ms={16 * (blocks - 1)};sum={sums[0]};squares={sums[1]};peak={sums[2]};rises={sums[3]}"
+        assert (r.media_bytes, r.media_sha256) == (len(files[k]), hashlib.sha256(files[k]).hexdigest())
     assert tuple(rows[2])[1:] == tuple(rows[len(TEXTS)])[1:]
     assert media.media_digest(docs.limit(0)).count() == 0
 
@@ -112,6 +136,34 @@ def test_bpe_is_exact(codec, monkeypatch, mean):
         assert codec.decode(ids) == codec.tok.decode(want, skip_special_tokens=False) == t
 
 
+@pytest.mark.parametrize("places", [lambda cp: np.arange(1, len(cp)), lambda cp: np.arange(3, len(cp), 5), lambda cp: np.arange(0)])
+def test_bpe_is_exact_at_any_places(codec, monkeypatch, places):
+    """What is accepted depends on the comparison of tokens, not on the choice of places."""
+    monkeypatch.setattr(bpe, "MEAN", 12)
+    monkeypatch.setattr(bpe, "LONGEST", 40)
+    monkeypatch.setattr(bpe, "agreeing", places)
+    r = random.Random(3)
+    for _ in range(150):
+        t = "".join(r.choice(PIECES + ["hello", "ing", "tion"]) for _ in range(r.randint(0, 120)))
+        assert codec.encode_batch([t])[0].tolist() == codec.tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_whole_table_is_exact(spark, codec):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = {r.doc_id: r for r in bpe.token_digest(d).collect()}
+    for x in d.collect():
+        ids = np.array(codec.tok.encode(x.text or "", add_special_tokens=False).ids, "<u4")
+        assert (rows[x.doc_id].n_tokens, rows[x.doc_id].ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+
+
+def test_copies_come_from_the_store(codec):
+    t = " ".join(f"word{k} of a passage" for k in range(400))
+    codec.encode_batch([t])
+    asked, found = codec.asked, codec.found
+    codec.encode_batch([t])
+    assert codec.asked - asked == codec.found - found == len(t)
+
+
 def test_chunks_are_shared():
     r = random.Random(5)
     words = ["".join(r.choices("abcdefgh", k=r.randint(2, 9))) for _ in range(900)]

@@ -151,6 +151,27 @@ def test_dedup_compares_copies_of_a_base_that_comes_last(spark, group):
     assert len(kept) == len(set(brute)) == 1
 
 
+def test_dedup_finds_cut_copies(spark):
+    r = random.Random(13)
+    rows = []
+    for _ in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice([80, 300]))]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(words[: len(words) * 87 // 100]))]
+    kept = {x.doc_id for x in simhash.dedup_documents(docs(spark, rows)).collect()}
+    assert set(range(0, 120, 2)) <= kept and len(kept) <= 61
+
+
+def test_settle_compares_groups_in_different_parts(spark):
+    """A set of one large group, a smaller one and single rows, in parts of a few."""
+    r = random.Random(2)
+    base, other = [set(r.sample(range(10**6), 40)) for _ in range(2)]
+    sets = [base | {10**7 + k} for k in range(60)] + [other | {10**8 + k} for k in range(25)] + [set(r.sample(range(10**6), 40)) for _ in range(10)]
+    held = spark.createDataFrame([(k, sorted(s)) for k, s in enumerate(sets)], "__row long, hashes array<long>")
+    members = spark.createDataFrame([(k, 0, len(s)) for k, s in enumerate(sets)], "__row long, set long, n int")
+    roots = {x.node: x.root for x in simhash.settle(members, held, 0.8, 8).collect()}
+    assert [roots.get(k, k) for k in range(len(sets))] == [0] * 60 + [60] * 25 + list(range(85, 95))
+
+
 def test_dedup_compares_all_of_one_word_set(spark):
     words = [f"w{k}" for k in range(120)]
     other = random.Random(3).sample(words, 120)
