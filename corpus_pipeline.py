@@ -1,7 +1,8 @@
 """A corpus from raw documents: five stages, each one operator, each stored for the next.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents.
+columns of documents.  What a stage stores on its way, and its input, are deleted as soon as
+its output is stored.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ripplework.llm import bpe, mixing, rules, secrets, simhash
-from ripplework.llm.common import materialize, table
+from ripplework.llm.common import kept, release, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +53,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before = docs
+        docs = kept(lambda: stage(spark, before, sf_dir), name)  # noqa: B023
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
