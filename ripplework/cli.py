@@ -12,7 +12,7 @@ import logging
 
 from pyspark.sql import SparkSession
 
-from ripplework.operators import baselines, experiment, select
+from ripplework.operators import experiment, select
 from ripplework.operators.aux_graph import build, sizes
 from ripplework.sources import sinks
 from ripplework.sources.edges import read_edges
@@ -49,6 +49,8 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--sets", type=int, default=10_000)
     s.add_argument("--mode", type=int, default=2, choices=[0, 1, 2])
     s.add_argument("--pool", type=int, default=0)
+    s.add_argument("--final-delta", type=float, default=1e-3, help="of the stopping rule that measures OPIM's seeds")
+    s.add_argument("--final-eps", type=float, default=0.1)
     e = sub.add_parser("experiment", parents=[graph, common])
     e.add_argument("--algorithms", default="MF-RR,MF-IMM,MaxDegree,Random")
     e.add_argument("--max-k", type=int, default=50)
@@ -90,22 +92,28 @@ def main(argv: list[str] | None = None) -> int:
 def run_select(spark: SparkSession, a: argparse.Namespace) -> None:
     g = sinks.load_graph(spark, a.graph)
     facts: dict = {"algorithm": a.algorithm, "k": a.k, "model": g.model}
-    sets = a.sets
+    sets, found = a.sets, None
     if a.algorithm == "rr":
         cover = select.rr_greedy(g, a.k, sets, a.seed)
     elif a.algorithm == "imm":
         r = select.imm(g, a.k, a.eps, a.ell, a.seed)
         cover, sets = r.cover, r.theta
         facts |= {"lower": r.lower, "influence": r.influence}
-    elif a.algorithm == "all-factor" or g.model in baselines.GATED:
+    elif a.algorithm == "all-factor":
         cover, _ = select.all_factor_greedy(g, a.k, sets, a.seed, a.pool)
     else:
-        r = select.opim(g, a.k, sets, a.delta, a.mode, a.seed, a.pool) if a.algorithm == "opim" else select.opimc(g, a.k, a.eps, a.delta, a.mode, a.seed, pool=a.pool)
-        cover, sets = r.cover, r.sets
+        if a.algorithm == "opim":
+            r = select.opim(g, a.k, sets, a.delta, a.mode, a.seed, a.pool, final=(a.final_delta, a.final_eps))
+        else:
+            r = select.opimc(g, a.k, a.eps, a.delta, a.mode, a.seed, pool=a.pool)
+        cover, sets, found = r.cover, r.sets, r
         facts |= {"ratio": r.ratio, "influence": r.influence, "accepted": r.accepted}
     sinks.write_summary(spark, f"{a.out}/summary", facts | {"sets": sets, "covered": cover.covered}, cover.seeds)
+    log.info("seeds: %s", " ".join(map(str, cover.seeds)))
+    log.info("%s", ", ".join(f"{k} {v}" for k, v in facts.items()))
     if a.ks:
-        rows = select.prefixes(cover.table(spark), select.parse_ks(a.ks), g.nodes.count(), sets)
+        ks = select.parse_ks(a.ks)
+        rows = select.prefix_rows(g, found, ks) if found else select.prefixes(cover.table(spark), ks, g.nodes.count(), sets)
         sinks.write_prefixes(rows, a.out, sinks.output_name("graph", a.algorithm, g.model, a.k), sets)
 
 

@@ -9,8 +9,8 @@ from ripplework.functions.keyed import u32
 from ripplework.functions.scratch import stored
 from ripplework.operators.aux_graph import AuxGraph
 from ripplework.operators.graph import out_degree
-from ripplework.operators.select import Cover, greedy_cover
-from ripplework.operators.spread import broadcast_graph, closure, is_local, live, local_graph, per_world, prepared
+from ripplework.operators.select import Cover, greedy_cover, lazy_greedy
+from ripplework.operators.spread import and_closure, broadcast_graph, closure, in_worlds, is_local, live, local_graph, per_world, prepared
 
 GATED = ("IC2", "IC2MIX")
 
@@ -33,7 +33,7 @@ def reach_relation(g: AuxGraph, worlds: int, seed: int = 43, strategy: str = "au
     from_ = (candidates if candidates is not None else g.nodes).select("id").distinct()
     if strategy == "local" or (strategy == "auto" and is_local(prep)):
         held = broadcast_graph(prep)
-        ids = spark.sparkContext.broadcast([r.id for r in from_.collect()])
+        ids = spark.sparkContext.broadcast([r.id for r in from_.collect()])  # no more than the edges that is_local counts
 
         def run(r: int):
             graph = local_graph(held, model, factors, seed, False)
@@ -56,37 +56,63 @@ def world_greedy(g: AuxGraph, k: int, worlds: int, seed: int = 43, strategy: str
     """Greedy on the mean spread over shared worlds.
 
     Spread over fixed live edges is a coverage function of (world, node) pairs, so one reach
-    relation and greedy cover give exactly what re-simulating every candidate would; lazy
-    evaluation (CELF) chooses the same seeds and needs no code of its own.  ``lazy`` keeps its
-    habit of filling up with nodes without gain.  All-factor models are not submodular, so
-    that lazy evaluation is refused and every candidate is tried.
+    relation and greedy cover give exactly what re-simulating every candidate would.  ``lazy``
+    evaluates gains lazily over the same relation (CELF) and fills up with nodes without gain.
+    All-factor models are not submodular, so that lazy evaluation is refused and every
+    candidate is tried.
     """
     if g.model in GATED:
         if lazy:
             raise ValueError("lazy greedy needs submodular spread; the all-factor model has none")
-        return gated_greedy(g, k, worlds, seed)
+        return gated_greedy(g, k, worlds, seed, strategy)
     rel = reach_relation(g, worlds, seed, strategy)
+    if lazy:
+        return lazy_cover(stored(rel, "reach"), g.nodes, k)
     pairs = rel.select(F.struct("r", "node").alias("rr_id"), F.col("source").alias("node"))
-    return greedy_cover(pairs, g.nodes, k, skip_zero=not lazy)
+    return greedy_cover(pairs, g.nodes, k, skip_zero=True)
 
 
-def gated_greedy(g: AuxGraph, k: int, worlds: int, seed: int = 43) -> Cover:
+def lazy_cover(rel: DataFrame, nodes: DataFrame, k: int) -> Cover:
+    """Lazy greedy over a stored ``rel(r, source, node)``: only the candidates whose last known
+    gain could still be the largest are counted anew."""
+    first = nodes.select(F.col("id").alias("node")).distinct().join(rel.groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("gain")), "node", "left")
+
+    def evaluate(chosen: list[int], some: list[int]) -> dict[int, float]:
+        covered = rel.where(F.col("source").isin(chosen)).select("r", "node").distinct()
+        mine = rel.where(F.col("source").isin(some)).join(covered, ["r", "node"], "left_anti")
+        return {x.source: x["count"] for x in mine.groupBy("source").count().collect()}  # a row for each of a batch
+
+    picks, _ = lazy_greedy(first.select("node", F.coalesce("gain", F.lit(0)).alias("gain")), k, evaluate)
+    found = [(n, int(x)) for n, x in picks]
+    return Cover(found, sum(x for _, x in found))
+
+
+def gated_greedy(g: AuxGraph, k: int, worlds: int, seed: int = 43, strategy: str = "auto") -> Cover:
     """Greedy under the AND rule: each round tries every candidate in every world."""
     prep = stored(prepared(g), "prepared")
-    if not is_local(prep):
-        raise ValueError("the all-factor greedy walks graphs that fit in a worker")
-    held = broadcast_graph(prep)
     spark, model, factors = prep.sparkSession, g.model, g.factors
-    ids = spark.sparkContext.broadcast([r.id for r in g.nodes.select("id").distinct().collect()])
+    local = strategy == "local" or (strategy == "auto" and is_local(prep))
+    nodes = stored(g.nodes.select("id").distinct(), "nodes")
+    n = nodes.count()
+    if local:
+        held = broadcast_graph(prep)
+        ids = spark.sparkContext.broadcast([r.id for r in nodes.collect()])  # no more than the edges that is_local counts
     out, total = Cover(), 0
-    for _ in range(min(k, len(ids.value))):
+    for _ in range(min(k, n)):
         chosen = out.seeds
-
-        def run(r: int, chosen=tuple(chosen)):
-            graph = local_graph(held, model, factors, seed, False)
-            return [(c, and_reach(graph, r, [*chosen, c], factors)) for c in ids.value if c not in chosen]
-
-        sums = per_world(spark, 0, worlds, run, "node long, spread long").groupBy("node").agg(F.sum("spread").alias("spread"))
+        if local:
+
+            def run(r: int, chosen=tuple(chosen)):
+                graph = local_graph(held, model, factors, seed, False)
+                return [(c, and_reach(graph, r, [*chosen, c], factors)) for c in ids.value if c not in chosen]
+
+            by = per_world(spark, 0, worlds, run, "node long, spread long")
+        else:
+            left = nodes.where(~F.col("id").isin(chosen)) if chosen else nodes
+            seeds = left.select(F.col("id").alias("c"), F.explode(F.array(F.col("id") * 8, *(F.lit(x * 8).cast("long") for x in chosen))).alias("node"))
+            reached = and_closure(in_worlds(seeds, worlds), prep, model, factors, seed, ("r", "c"))
+            by = reached.groupBy(F.col("c").alias("node")).agg(F.count(F.lit(1)).alias("spread"))
+        sums = by.groupBy("node").agg(F.sum("spread").alias("spread"))
         best = sums.orderBy(F.desc("spread"), "node").limit(1).collect()
         if not best or best[0].spread <= total:
             break
@@ -116,9 +142,30 @@ def and_reach(graph, r: int, seeds: list[int], factors: int) -> int:
 
 
 def reach_greedy(edges: DataFrame, nodes: DataFrame, k: int) -> Cover:
-    """Greedy on plain reachability, without diffusion."""
-    start = nodes.select(F.col("id").alias("r"), F.col("id").alias("node")).distinct()
-    rel = closure(start, lambda front: front.join(edges.select("src", "dst"), F.col("node") == F.col("src")).select("r", F.col("dst").alias("node")))
-    return greedy_cover(rel.select(F.col("node").alias("rr_id"), F.col("r").alias("node")), nodes, k)
-
+    """Greedy on plain reachability, without diffusion.
 
+    Nodes that reach one another reach the same, so the largest such group is contracted to its
+    smallest node, which counts for all of them; what reaches what is then listed for the rest
+    only.  (Where no group is large, the listing is quadratic in the nodes that cycles leave.)
+    """
+    ids = nodes.select("id").distinct()
+    rep = stored(hub_component(edges, ids), "component")
+    size = F.broadcast(rep.agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("rep")))  # one row
+    to = stored(ids.join(rep.withColumn("in", F.lit(True)), "id", "left").join(size).select("id", F.when(F.col("in"), F.col("rep")).otherwise(F.col("id")).alias("to"), F.when(F.col("in"), F.col("size")).otherwise(1).cast("long").alias("weight")), "contracted")
+    of = lambda name: to.select(F.col("id").alias(name), F.col("to").alias(f"{name}_to"))
+    short = edges.select("src", "dst").join(of("src"), "src").join(of("dst"), "dst").select(F.col("src_to").alias("src"), F.col("dst_to").alias("dst")).where("src <> dst").distinct()
+    short = stored(short, "short")
+    start = to.select(F.col("to").alias("r"), F.col("to").alias("node")).distinct()
+    rel = closure(start, lambda front: front.join(short, F.col("node") == F.col("src")).select("r", F.col("dst").alias("node")))
+    weights = to.select(F.col("to").alias("node"), "weight").distinct()
+    pairs = rel.join(weights, "node").select(F.col("node").alias("rr_id"), F.col("r").alias("node"), "weight")
+    return greedy_cover(pairs, ids, k)
+
+
+def hub_component(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id): the nodes that the node of largest degree reaches and that reach it, itself included."""
+    both = edges.select("src", "dst")
+    hub = out_degree(both, ids).orderBy(F.desc("degree"), "id").limit(1).select(F.lit(0).cast("long").alias("r"), F.col("id").alias("node"))
+    ahead = closure(hub, lambda front: front.join(both, F.col("node") == F.col("src")).select("r", F.col("dst").alias("node")))
+    back = closure(hub, lambda front: front.join(both, F.col("node") == F.col("dst")).select("r", F.col("src").alias("node")))
+    return ahead.join(back, ["r", "node"], "left_semi").select(F.col("node").alias("id"))

@@ -7,6 +7,7 @@ appending a range of ids and nothing drawn before changes.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -83,8 +84,10 @@ class Sampler:
         A row without a parent stands for the root, so that sets of one origin are kept.
         """
         g, seed, n = self.g, self.seed, self.n
+        if n == 0 or count == 0:
+            return self.prep.sparkSession.createDataFrame([], "rr_id long, root long, parent long, target long, factor int")
         if not self.local:
-            raise ValueError("stateful samples walk graphs that fit in a worker")
+            return self._uses_by_joins(first, count)
         held, ids = self._broadcast()
         model, factors = g.model, g.factors
 
@@ -104,6 +107,27 @@ class Sampler:
 
         return per_world(self.prep.sparkSession, first, count, run, "rr_id long, root long, parent long, target long, factor int")
 
+    def _uses_by_joins(self, first: int, count: int) -> DataFrame:
+        """``uses`` for graphs of any size: the origins of all sets by a frontier loop over the
+        ties among origins, then the ties themselves in one pass."""
+        g, seed = self.g, self.seed
+        start = roots(self.ranked, self.n, count, seed, first).withColumnRenamed("rr_id", "r")
+        fires = live(g.model, g.factors, seed, F.col("r"), F.col("src"), F.col("dst"))
+        prep = self.prep
+
+        def ties(front: DataFrame) -> DataFrame:
+            """r, target and the origin ``parent`` of each live tie, with its factor or -1."""
+            into = front.join(prep, F.col("node") == F.col("dst")).where(fires).select("r", F.col("dst").alias("target"), F.col("src").alias("node"))
+            direct = into.where("(node & 7) = 0").select("r", "target", F.col("node").alias("parent"), F.lit(-1).alias("factor"))
+            gated = into.where("(node & 7) > 0").join(prep, F.col("node") == F.col("dst")).where(fires)
+            return direct.unionByName(gated.select("r", "target", F.col("src").alias("parent"), F.col("node").bitwiseAND(F.lit(7)).cast("int").alias("factor")))
+
+        origins = stored(closure(start, lambda front: ties(front).select("r", F.col("parent").alias("node"))), "origins")
+        of = start.select(F.col("r").alias("rr_id"), F.shiftright("node", 3).alias("root"))
+        none = of.select("rr_id", "root", F.lit(None).cast("long").alias("parent"), F.col("root").alias("target"), F.lit(None).cast("int").alias("factor"))
+        rows = ties(origins).select(F.col("r").alias("rr_id"), F.shiftright("parent", 3).alias("parent"), F.shiftright("target", 3).alias("target"), "factor")
+        return none.unionByName(rows.join(of, "rr_id").select("rr_id", "root", "parent", "target", "factor"))
+
 
 def coverage(rr: DataFrame, seeds: DataFrame, n: int, count: int) -> DataFrame:
     """(covered, influence): sets that hold a seed, and n * covered / count."""
@@ -111,26 +135,34 @@ def coverage(rr: DataFrame, seeds: DataFrame, n: int, count: int) -> DataFrame:
     return covered.select("covered", (F.col("covered") * F.lit(float(n)) / F.lit(float(max(count, 1)))).alias("influence"))
 
 
-def stopping_rule(sampler: Sampler, seeds: list[int], delta: float = 1e-3, eps: float = 0.1, first_batch: int = 2000, max_sets: int = 5_000_000) -> tuple[float, int]:
-    """Influence by sampling until enough sets are covered; (estimate, sets drawn).
+class Estimate(NamedTuple):
+    influence: float
+    sets: int
+    #: whether enough sets were covered; if not, ``influence`` is a plain mean without a guarantee
+    reached: bool
+
+
+def stopping_rule(sampler: Sampler, seeds: list[int], delta: float = 1e-3, eps: float = 0.1, first_batch: int = 2000, max_sets: int = 5_000_000) -> Estimate:
+    """Influence by sampling until enough sets are covered.
 
-    Batches double, and the last one is cut at the very set that reaches the target, so the
-    estimate is the sequential one.
+    Batches double up to ``max_sets`` in all, and the last one is cut at the very set that
+    reaches the target, so the estimate is the sequential one.
     """
     target = math.ceil(1 + 4 * (math.e - 2) * (1 + eps) * math.log(2 / delta) / eps**2)
     spark = sampler.prep.sparkSession
     if not seeds:
-        return 0.0, 0
+        return Estimate(0.0, 0, True)
     wanted = spark.createDataFrame([(s,) for s in seeds], "node long")
     covered, first, batch = 0, 0, first_batch
     while first < max_sets:
+        batch = min(batch, max_sets - first)
         hit = stored(sampler.take(first, batch).join(F.broadcast(wanted), "node", "left_semi").select("rr_id").distinct(), "covered")
         found = hit.count()
         if covered + found >= target:
             last = hit.orderBy("rr_id").limit(target - covered).agg(F.max("rr_id")).first()[0]
-            return target * sampler.n / (last + 1), last + 1
+            return Estimate(target * sampler.n / (last + 1), last + 1, True)
         covered, first, batch = covered + found, first + batch, batch * 2
-    return covered * sampler.n / first, first
+    return Estimate(covered * sampler.n / first, first, False)
 
 
 def frequency(rr: DataFrame) -> DataFrame:

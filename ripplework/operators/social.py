@@ -16,7 +16,8 @@ from ripplework.functions.keyed import draw, u32
 from ripplework.functions.scratch import stored
 from ripplework.operators.aux_graph import AuxGraph
 from ripplework.operators.rrsets import Sampler
-from ripplework.operators.spread import broadcast_graph, is_local, local_graph, per_world, prepared
+from ripplework.operators.select import lazy_greedy
+from ripplework.operators.spread import broadcast_graph, in_worlds, is_local, live, local_graph, per_world, prepared
 
 HUB_FOLLOWERS, SAMPLE = 100_000, 100
 
@@ -157,7 +158,15 @@ def eigen_seeds(g: SocialGraph, k: int, rounds: int = 24):
 # ---------------------------------------------------------------- diffusion
 
 
-def user_spread(g: SocialGraph, seeds: list[list[int]], rounds: int, model: str = "IC", steps: int = 5, seed: int = 49) -> DataFrame:
+def with_weights(g: SocialGraph, thresholds: DataFrame) -> SocialGraph:
+    """The graph with the weights of ``thresholds(src, dst, threshold)``, a configuration that
+    must name every tie."""
+    joined = g.edges.select("src", "dst").join(thresholds.select("src", "dst", "threshold"), ["src", "dst"], "left")
+    missing = F.raise_error(F.concat_ws(" ", F.lit("no threshold for the tie"), "src", "dst"))
+    return SocialGraph(g.nodes, joined.select("src", "dst", F.when(F.col("threshold").isNotNull(), F.col("threshold")).otherwise(missing).cast("double").alias("weight")))
+
+
+def user_spread(g: SocialGraph, seeds: list[list[int]], rounds: int, model: str = "IC", steps: int = 5, seed: int = 49, strategy: str = "auto") -> DataFrame:
     """(candidate, spread): mean over rounds for each list of user vertices.
 
     IC: users newly active at each of ``steps`` observations, the first being the seeds,
@@ -169,12 +178,11 @@ def user_spread(g: SocialGraph, seeds: list[list[int]], rounds: int, model: str
         raise ValueError("model must be IC or LT")
     aux = g.aux("IC")
     prep = stored(prepared(aux), "prepared")
-    if not is_local(prep):
-        raise ValueError("user spread walks graphs that fit in a worker")
+    if strategy == "relational" or (strategy == "auto" and not is_local(prep)):
+        return _user_spread_by_joins(aux, prep, seeds, rounds, model, steps, seed)
     held = broadcast_graph(prep)
     spark = prep.sparkSession
-    known = {r.id for r in aux.nodes.collect()}
-    lists = spark.sparkContext.broadcast([[v * 8 for v in s if v in known] for s in seeds])
+    lists = spark.sparkContext.broadcast(_known(aux, seeds))
 
     def cascade(r: int, start: list[int]) -> int:
         graph, memo = local_graph(held, "IC", 2, seed, False), {}
@@ -211,13 +219,45 @@ def user_spread(g: SocialGraph, seeds: list[list[int]], rounds: int, model: str
     return per_world(spark, 0, rounds, run, "candidate long, spread long").groupBy("candidate").agg((F.sum("spread") / F.lit(float(rounds))).alias("spread"))
 
 
-def greedy_seeds(g: SocialGraph, k: int, rounds: int = 1, model: str = "IC", seed: int = 49) -> list[tuple[int, float]]:
-    """(vertex, spread so far): tries every user in each round and stops without spread.
+def _known(aux: AuxGraph, seeds: list[list[int]]) -> list[list[int]]:
+    """The caller's lists as expanded ids, without vertices that are no users."""
+    wanted = aux.edges.sparkSession.createDataFrame([(v,) for v in sorted({v for s in seeds for v in s})], "id long")
+    known = {r.id for r in aux.nodes.join(F.broadcast(wanted), "id", "left_semi").collect()}
+    return [[v * 8 for v in s if v in known] for s in seeds]
 
-    With common random numbers lazy evaluation (CELF, CELF++) chooses by the same values, so
-    both are this function under other names.
-    """
-    users = sorted(r.v for r in g.nodes.where("node_type = 'user'").select(F.shiftright("node", 3).alias("v")).collect())
+
+def _user_spread_by_joins(aux: AuxGraph, prep: DataFrame, seeds: list[list[int]], rounds: int, model: str, steps: int, seed: int) -> DataFrame:
+    """``user_spread`` on graphs of any size, a join for each observation."""
+    spark = prep.sparkSession
+    start = spark.createDataFrame([(c, v) for c, s in enumerate(_known(aux, seeds)) for v in s], "c long, node long").distinct()
+    key = ["r", "c", "node"]
+    front = stored(in_worlds(start, rounds).select(*key), "front")
+    active = front
+    into = prep.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("ties"))
+    for _ in range(steps - 1):
+        if model == "IC":
+            new = front.join(prep, F.col("node") == F.col("src")).where(live("IC", 2, seed, F.col("r"), F.col("src"), F.col("dst"))).select("r", "c", F.col("dst").alias("node")).distinct()
+        else:
+            met = active.join(prep, F.col("node") == F.col("src")).groupBy("r", "c", F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("on"))
+            follows = F.col("on") / F.col("ties") >= (u32("threshold", seed, F.col("r"), F.col("node")) % 19 + 1) / 100
+            new = met.join(into, "node").where(follows).select(*key)
+        front = stored(new.join(active, key, "left_anti"), "front")
+        if front.isEmpty():
+            break
+        active = stored(active.unionByName(front), "active")
+    sums = active.where("(node & 7) = 0").groupBy("c").agg((F.count(F.lit(1)) / F.lit(float(rounds))).alias("spread"))
+    every = spark.range(len(seeds)).select(F.col("id").alias("c"))
+    return every.join(sums, "c", "left").select(F.col("c").alias("candidate"), F.coalesce("spread", F.lit(0.0)).alias("spread"))
+
+
+def _user_ids(g: SocialGraph) -> list[int]:
+    """All users, who are the candidates that each selector by simulation must try one by one."""
+    return sorted(r.v for r in g.nodes.where("node_type = 'user'").select(F.shiftright("node", 3).alias("v")).collect())
+
+
+def greedy_seeds(g: SocialGraph, k: int, rounds: int = 1, model: str = "IC", seed: int = 49) -> list[tuple[int, float]]:
+    """(vertex, spread so far): tries every user in each round and stops without spread."""
+    users = _user_ids(g)
     out: list[tuple[int, float]] = []
     for _ in range(min(k, len(users))):
         chosen = [v for v, _ in out]
@@ -229,8 +269,34 @@ def greedy_seeds(g: SocialGraph, k: int, rounds: int = 1, model: str = "IC", see
     return out
 
 
-celf_seeds = greedy_seeds
-celfpp_seeds = greedy_seeds
+def celf_seeds(g: SocialGraph, k: int, rounds: int = 1, model: str = "IC", seed: int = 49, batch: int = 64, ahead: bool = False) -> list[tuple[int, float]]:
+    """(vertex, spread so far) by lazy evaluation: a round simulates only the users whose last
+    known gain could still be the largest, ``batch`` of them at a time."""
+    users = _user_ids(g)
+    spark = g.edges.sparkSession
+    alone = user_spread(g, [[u] for u in users], rounds, model, seed=seed).collect() if users else []
+    first = spark.createDataFrame([(users[r.candidate], float(r.spread)) for r in alone], "node long, gain double")
+    spreads: dict[tuple[int, ...], float] = {(): 0.0, **{(users[r.candidate],): float(r.spread) for r in alone}}
+
+    def evaluate(chosen: list[int], some: list[int]) -> dict[int, float]:
+        wanted = [(*chosen, u) for u in some]
+        if ahead:
+            wanted += [(*chosen, some[0], u) for u in some[1:]]
+        wanted = [w for w in wanted if w not in spreads]
+        if wanted:
+            rows = user_spread(g, [list(w) for w in wanted], rounds, model, seed=seed).collect()
+            spreads.update({wanted[r.candidate]: float(r.spread) for r in rows})
+        return {u: spreads[(*chosen, u)] - spreads[tuple(chosen)] for u in some}
+
+    picks, _ = lazy_greedy(first, min(k, len(users)), evaluate, batch)
+    out = [(v, spreads[tuple(n for n, _ in picks[: i + 1])]) for i, (v, _) in enumerate(picks)]
+    return [x for x in out if x[1] > 0]
+
+
+def celfpp_seeds(g: SocialGraph, k: int, rounds: int = 1, model: str = "IC", seed: int = 49, batch: int = 64) -> list[tuple[int, float]]:
+    """CELF++: with each gain the one is simulated that the user would have once the most
+    promising user of the batch were chosen, so that the round after that needs no simulation."""
+    return celf_seeds(g, k, rounds, model, seed, batch, ahead=True)
 
 
 def ris_seeds(g: SocialGraph, k: int, rounds: int = 100, model: str = "IC", seed: int = 50, exclude_chosen: bool = True) -> list[tuple[int, int]]:

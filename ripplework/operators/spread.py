@@ -28,6 +28,8 @@ from ripplework.operators.aux_graph import AuxGraph
 #: Edges up to which a graph is broadcast (about 40 bytes each in a worker).
 LOCAL_EDGES = 4_000_000
 MAX_ROUNDS = 10_000
+#: Rows of a frontier up to which it is broadcast, so that the edges need not move (32 bytes each).
+SMALL_FRONT = 200_000
 
 
 # ---------------------------------------------------------------- live edges
@@ -191,13 +193,47 @@ def closure(start: DataFrame, step: Callable[[DataFrame], DataFrame], max_rounds
     """
     front = stored(start.select("r", "node").distinct(), "front")
     seen = front
-    for _ in range(max_rounds):
-        new = step(front).select("r", "node").distinct().join(seen, ["r", "node"], "left_anti")
+    for k in range(max_rounds):
+        new = step(small(front)).select("r", "node").distinct().join(seen, ["r", "node"], "left_anti")
         front = stored(new, "front")
         if front.isEmpty():
             return seen
-        seen = stored(seen.unionByName(front), "seen") if _ % 8 == 7 else seen.unionByName(front)
-    return seen
+        seen = stored(seen.unionByName(front), "seen") if k % 8 == 7 else seen.unionByName(front)
+    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+
+
+def small(front: DataFrame) -> DataFrame:
+    """A stored frontier, broadcast if a count shows that it is small."""
+    return F.broadcast(front) if front.limit(SMALL_FRONT + 1).count() <= SMALL_FRONT else front
+
+
+def and_closure(start: DataFrame, prep: DataFrame, model: str, factors: int, seed: int, keys: tuple[str, ...] = ("r",), max_rounds: int = MAX_ROUNDS) -> DataFrame:
+    """(*keys, node): origins active under the AND rule from ``start``; r is the world.
+
+    A tie to a factor meets it, a direct tie activates its target, and a gated target
+    activates when its gate fires and all its factors have been met.
+    """
+    key = [*keys, "node"]
+    fires = live(model, factors, seed, F.col("r"), F.col("src"), F.col("dst"))
+    front = stored(start.select(*key).distinct(), "front")
+    active, met = front, None
+    for k in range(max_rounds):
+        out = small(front).join(prep, F.col("node") == F.col("src")).where(fires).select(*keys, F.col("dst").alias("node")).distinct()
+        out = stored(out, "reached")
+        direct = out.where("(node & 7) = 0")
+        gate = out.where("(node & 7) > 0").join(prep, F.col("node") == F.col("src")).where(fires).select(*keys, F.col("dst").alias("target"), F.col("node").alias("factor"))
+        met = gate if met is None else stored(met.unionByName(gate).distinct(), "met")
+        full = met.groupBy(*keys, F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == factors).select(*key)
+        front = stored(direct.unionByName(full).distinct().join(active, key, "left_anti"), "front")
+        if front.isEmpty():
+            return active
+        active = stored(active.unionByName(front), "active") if k % 8 == 7 else active.unionByName(front)
+    raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+
+
+def in_worlds(rows: DataFrame, count: int, first: int = 0) -> DataFrame:
+    """``rows`` once for each world r from ``first`` on."""
+    return rows.withColumn("r", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(first + count - 1).cast("long"))))
 
 
 def seeds_table(g: AuxGraph, seeds: DataFrame) -> DataFrame:
@@ -246,16 +282,19 @@ def spread_on_worlds(live_edges: DataFrame, seeds: DataFrame, count: int) -> Dat
     return reached.agg((F.count(F.lit(1)) / F.lit(float(count))).alias("influence"))
 
 
-def all_factor_spread(g: AuxGraph, seeds: DataFrame, count: int, seed: int = 43, first: int = 0) -> DataFrame:
+def all_factor_spread(g: AuxGraph, seeds: DataFrame, count: int, seed: int = 43, first: int = 0, strategy: str = "auto") -> DataFrame:
     """(r, spread) under the AND rule: a gated target activates when its gate fires and every
     one of its factors has a live active parent."""
     spark = g.edges.sparkSession
     prep = stored(prepared(g), "prepared")
     factors, model = g.factors, g.model
-    if not is_local(prep):
-        raise ValueError(f"the all-factor spread walks graphs of up to {LOCAL_EDGES} edges")
+    if strategy == "relational" or (strategy == "auto" and not is_local(prep)):
+        reached = and_closure(in_worlds(seeds_table(g, seeds), count, first), prep, model, factors, seed)
+        reached = reached.groupBy("r").agg(F.count(F.lit(1)).alias("spread"))
+        every = spark.range(first, first + count).select(F.col("id").alias("r"))
+        return every.join(reached, "r", "left").select("r", F.coalesce("spread", F.lit(0)).alias("spread"))
     held = broadcast_graph(prep)
-    start = [r.node >> 3 for r in seeds_table(g, seeds).collect()]
+    start = [r.node >> 3 for r in seeds_table(g, seeds).collect()]  # seeds are the caller's list
 
     def run(r: int):
         from ripplework.operators.baselines import and_reach

@@ -17,11 +17,6 @@ def query(ctes: list[str], select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(ctes) + "\n" + select
 
 
-def sparse(share: float, seed: int = 1) -> list[str]:
-    """The part graph thinned by a keyed hash."""
-    return [PART_SEQ.replace("e AS", "e0 AS", 1), f"e AS (SELECT * FROM e0 WHERE {sql_u32('sparse', seed, 'src', 'dst')} < {share * TWO32!r})"]
-
-
 def num(x: float) -> str:
     return f"CAST('{x!r}' AS DOUBLE)"
 
@@ -64,8 +59,9 @@ def aux(model: str, factors: int, seed: int = 42, p: float = 0.778, ratio: float
     return out
 
 
-def live(model: str, factors: int, worlds: str, seed: int = 43) -> list[str]:
-    """CTE live(r, src, dst) over aux and np; ``worlds`` is a query of the column r."""
+def live(model: str, factors: int, worlds: str, seed: int = 43, tag: str = "") -> list[str]:
+    """CTE live(r, src, dst) over aux and np; ``worlds`` is a query of the column r, ``tag`` an
+    ending of all names."""
     if model in ("TRIGGER", "OLO"):
         prep = "SELECT src, dst, prob, p AS a FROM aux JOIN np ON node = dst"
         test = f"{sql_u32('node', seed, 'r', 'dst')} < a * {TWO32!r}::DOUBLE"
@@ -79,7 +75,7 @@ def live(model: str, factors: int, worlds: str, seed: int = 43) -> list[str]:
         if model in ("IC2", "IC2MIX"):
             gate = " AND ".join(f"{sql_u32('edge', seed, 'r', f'(dst + {i})', 'dst')} < prob * {TWO32!r}::DOUBLE" for i in range(1, factors + 1))
             test = f"CASE WHEN src % 8 > 0 THEN {gate} ELSE {test} END"
-    return [f"prep AS ({prep})", f"w AS ({worlds})", f"live AS MATERIALIZED (SELECT r, src, dst FROM prep CROSS JOIN w WHERE {test})"]
+    return [f"prep{tag} AS MATERIALIZED ({prep})", f"w{tag} AS ({worlds})", f"live{tag} AS MATERIALIZED (SELECT r, src, dst FROM prep{tag} CROSS JOIN w{tag} WHERE {test})"]
 
 
 def world_range(count: int) -> str:
@@ -94,11 +90,51 @@ def forward(start: str, seeded: str = "r, node") -> str:
     return f"reach({seeded}) AS ({start} UNION SELECT reach.r, live.dst FROM reach JOIN live ON live.r = reach.r AND live.src = reach.node)"
 
 
+def root_query(seed: int, count: int, nodes: str = "v") -> str:
+    place = f"{sql_u32('root', seed, 'q')} * (SELECT COUNT(*) FROM {nodes}) // 4294967296"
+    return f"SELECT q AS r, id * 8 AS node FROM (SELECT unnest(range({count})) AS q) JOIN (SELECT id, ROW_NUMBER() OVER (ORDER BY id) - 1 AS k FROM {nodes}) ON k = {place}"
+
+
+def sample(model: str, factors: int, count: int, seed: int = 44, tag: str = "") -> list[str]:
+    """CTE rr(rr_id, node) of ``count`` sets over v and aux."""
+    back = f"back{tag}(r, node) AS ({root_query(seed, count)} UNION SELECT back{tag}.r, live{tag}.src FROM back{tag} JOIN live{tag} ON live{tag}.r = back{tag}.r AND live{tag}.dst = back{tag}.node)"
+    return [*live(model, factors, world_range(count), seed, tag), back, f"rr{tag} AS MATERIALIZED (SELECT r AS rr_id, node // 8 AS node FROM back{tag} WHERE node % 8 = 0)"]
+
+
 def rr(model: str, factors: int, count: int, seed: int = 44, **args) -> list[str]:
     """CTE rr(rr_id, node) of ``count`` sets over e."""
-    root = f"SELECT q AS r, id * 8 AS node FROM (SELECT unnest(range({count})) AS q) JOIN (SELECT id, ROW_NUMBER() OVER (ORDER BY id) - 1 AS k FROM v) ON k = {sql_u32('root', seed, 'q')} * (SELECT COUNT(*) FROM v) // 4294967296"
-    back = f"back(r, node) AS ({root} UNION SELECT back.r, live.src FROM back JOIN live ON live.r = back.r AND live.dst = back.node)"
-    return [NODES, *aux(model, factors, **args), *live(model, factors, world_range(count), seed), back, "rr AS MATERIALIZED (SELECT r AS rr_id, node // 8 AS node FROM back WHERE node % 8 = 0)"]
+    return [NODES, *aux(model, factors, **args), *sample(model, factors, count, seed)]
+
+
+def opim(k: int, sets: int) -> list[str]:
+    """CTE found(ratio, covered, covered2) of greedy cover on rr (p1 .. pk) judged on rr2."""
+    bounds = []
+    for i in range(k + 1):
+        chosen = " UNION ALL ".join(f"SELECT node FROM p{j}" for j in range(1, i + 1))
+        gone = f" WHERE rr_id NOT IN (SELECT rr_id FROM rr WHERE node IN ({chosen}))" if i else ""
+        have = " + ".join(["0", *(f"(SELECT gain FROM p{j})" for j in range(1, i + 1))])
+        bounds.append(f"SELECT {have} + (SELECT COALESCE(SUM(c), 0) FROM (SELECT COUNT(*) AS c FROM rr{gone} GROUP BY node ORDER BY c DESC LIMIT {k})) AS b")
+    seeds = " UNION ALL ".join(f"SELECT node FROM p{j}" for j in range(1, k + 1))
+    a = "(SELECT ln(2.0 * ((SELECT COUNT(*) FROM v) + (SELECT COUNT(DISTINCT src) FROM aux WHERE src % 8 > 0))))"
+    return [
+        f"bound AS (SELECT MIN(b)::DOUBLE AS b FROM ({' UNION ALL '.join(bounds)}))",
+        f"judged AS (SELECT {a} AS a, (SELECT COUNT(DISTINCT rr_id) FROM rr2 WHERE node IN ({seeds}))::DOUBLE AS c2, b FROM bound)",
+        "found AS (SELECT c2 AS covered2, (power(sqrt(c2 + 2 * a / 9) - sqrt(a / 2), 2) - a / 18) / power(sqrt(b + a / 2) + sqrt(a / 2), 2) AS ratio FROM judged)",
+    ]
+
+
+def and_active(start: str, factors: int, rounds: int) -> list[str]:
+    """CTEs a0 .. a(rounds)(r, node): origins active under the AND rule after so many rounds
+    over live, from a query of (r, node); the last is the fixpoint if there are rounds enough."""
+    out = [f"a0 AS MATERIALIZED ({start})"]
+    for i in range(1, rounds + 1):
+        out.append(
+            f"""a{i} AS MATERIALIZED (SELECT r, node FROM a{i - 1} UNION
+  SELECT a.r, l.dst FROM a{i - 1} a JOIN live l ON l.r = a.r AND l.src = a.node WHERE l.dst % 8 = 0 UNION
+  SELECT r, node FROM (SELECT DISTINCT a.r, l.dst AS f, gate.dst AS node FROM a{i - 1} a JOIN live l ON l.r = a.r AND l.src = a.node JOIN live gate ON gate.r = a.r AND gate.src = l.dst WHERE l.dst % 8 > 0)
+    GROUP BY r, node HAVING COUNT(*) = {factors})"""
+        )
+    return out
 
 
 def cover(k: int, sets: str = "rr", element: str = "rr_id", candidates: str = "v") -> tuple[list[str], str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplework.functions.keyed import TWO32, sql_u32, u32
+from ripplework.functions.keyed import TWO32, sql_u32, sql_uniform, u32, uniform
 from ripplework.functions.scratch import own_folder, stored
 from ripplework.operators import baselines, graph, rrsets, select, social, spread
 from ripplework.operators.aux_graph import AuxGraph, build
@@ -46,10 +46,6 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
     return src.load(spark, "part_seq", d)
 
 
-def thin_parts(spark: SparkSession, d: str, share: float = 0.03) -> DataFrame:
-    return stored(parts(spark, d).where(u32("sparse", 1, F.col("src"), F.col("dst")) < F.lit(share * TWO32)), "edges")
-
-
 def held(g: AuxGraph) -> AuxGraph:
     return AuxGraph(stored(g.nodes, "nodes"), stored(g.edges, "aux_edges"), g.node_prob, g.model, g.factors)
 
@@ -118,16 +114,16 @@ def out_degree(spark, d):
     return graph.out_degree(e, graph.nodes_of(e))
 
 
-@register("children_of", o.query([o.PART_SEQ], "SELECT src AS id, dst AS child FROM e WHERE src % 10 = 1"))
+@register("children_of", o.query([o.PART_SEQ], "SELECT src AS id, dst AS child FROM e"))
 def children_of(spark, d):
     e = stored(parts(spark, d), "edges")
-    return graph.children(e, graph.nodes_of(e).where("id % 10 = 1"))
+    return graph.children(e, graph.nodes_of(e))
 
 
-@register("parents_of", o.query([o.PART_SEQ], "SELECT dst AS id, src AS parent FROM e WHERE dst % 10 = 1"))
+@register("parents_of", o.query([o.PART_SEQ], "SELECT dst AS id, src AS parent FROM e"))
 def parents_of(spark, d):
     e = stored(parts(spark, d), "edges")
-    return graph.parents(e, graph.nodes_of(e).where("id % 10 = 1"))
+    return graph.parents(e, graph.nodes_of(e))
 
 
 @register("only_factor_parents", o.query([o.USER_SEQ, *o.aux("IC2MIX", 3)], "SELECT dst AS node, bool_and(src % 8 > 0) AS gated FROM aux GROUP BY dst"))
@@ -143,12 +139,12 @@ def factor_metadata(spark, d):
 @register(
     "top_degree_reach",
     o.query(
-        [*o.sparse(0.03), o.NODES, o.top_out(SEEDS), "reach(r, node) AS (SELECT id, id FROM top UNION SELECT r, dst FROM reach JOIN e ON src = node)"],
+        [o.PART_SEQ, o.NODES, o.top_out(SEEDS), "reach(r, node) AS (SELECT id, id FROM top UNION SELECT r, dst FROM reach JOIN e ON src = node)"],
         "SELECT r AS id, COUNT(*) AS reached FROM reach GROUP BY r", True,
     ),
 )
 def top_degree_reach(spark, d):
-    e = thin_parts(spark, d)
+    e = stored(parts(spark, d), "edges")
     return graph.reach_counts(e, baselines.max_degree(e, graph.nodes_of(e), SEEDS))
 
 
@@ -208,11 +204,27 @@ def spread_relational(spark, d):
     return spread.spread_by_world(g, baselines.max_degree(e, g.nodes, SEEDS), WORLDS, strategy="relational")
 
 
-@register("spread_all_factor_3")
-def spread_all_factor(spark, d):
-    e = users(spark, d)
-    g = held(build(e, "IC2MIX", 3, p=0.75, ratio=0.3))
-    return spread.all_factor_spread(g, baselines.max_degree(e, g.nodes, SEEDS), WORLDS)
+_MIX = {"p": 0.75, "ratio": 0.3}
+#: Rounds after which the SQL of the AND rule takes its state for the fixpoint.
+_ROUNDS = 24
+_ALL_FACTOR_SQL = o.query(
+    [o.USER_SEQ, o.NODES, o.top_out(SEEDS), *o.aux("IC2MIX", 3, **_MIX), *o.live("IC2MIX", 3, o.world_range(WORLDS)),
+     *o.and_active(f"SELECT r, id * 8 AS node FROM top CROSS JOIN (SELECT unnest(range({WORLDS})) AS r)", 3, _ROUNDS)],
+    f"SELECT r, COUNT(*) AS spread FROM a{_ROUNDS} GROUP BY r",
+)
+
+
+def _all_factor(strategy: str) -> Query:
+    def run(spark, d):
+        e = users(spark, d)
+        g = held(build(e, "IC2MIX", 3, **_MIX))
+        return spread.all_factor_spread(g, baselines.max_degree(e, g.nodes, SEEDS), WORLDS, strategy=strategy)
+
+    return run
+
+
+register("spread_all_factor_3", _ALL_FACTOR_SQL)(_all_factor("auto"))
+register("spread_all_factor_3_relational", _ALL_FACTOR_SQL)(_all_factor("relational"))
 
 
 # ---------------------------------------------------------------- reverse-reachable sets
@@ -320,9 +332,9 @@ _reach = "rel(rr_id, node, spot) AS (SELECT id, id, id FROM v UNION SELECT e.dst
 _gw, _gw_rows = o.cover(3, "rel")
 
 
-@register("reach_greedy", o.query([*o.sparse(0.01), o.NODES, _reach, *_gw], _gw_rows, True))
+@register("reach_greedy", o.query([o.PART_SEQ, o.NODES, _reach, *_gw], _gw_rows, True))
 def reach_greedy(spark, d):
-    e = thin_parts(spark, d, 0.01)
+    e = stored(parts(spark, d), "edges")
     return baselines.reach_greedy(e, graph.nodes_of(e), 3).table(spark)
 
 
@@ -345,68 +357,140 @@ for _m in ("IC", "LT", "TRIGGER"):
         )
 
 
-@register("world_greedy_all_factor_3")
-def world_greedy_all_factor(spark, d):
-    return baselines.world_greedy(held(build(users(spark, d), "IC2MIX", 3, p=0.75, ratio=0.3)), 2, _W).table(spark)
+def _and_greedy_sql() -> str:
+    """Two picks under the AND rule; the candidate is part of the world's number."""
+    base = [o.USER_SEQ, o.NODES, *o.aux("IC2MIX", 3, **_MIX), *o.live("IC2MIX", 3, o.world_range(_W), tag="0")]
+    ctes, earlier = [], "FALSE"
+    for i in (1, 2):
+        start = f"SELECT w.r * 1000000000 + v.id AS r, v.id * 8 AS node FROM v CROSS JOIN w0 w WHERE NOT ({earlier.replace('$', 'v.id')})"
+        if i == 2:
+            start += f" UNION SELECT w.r * 1000000000 + v.id, (SELECT node FROM s1) * 8 FROM v CROSS JOIN w0 w WHERE NOT ({earlier.replace('$', 'v.id')})"
+        steps = [x.replace(f"a{j} AS", f"b{i}_{j} AS").replace(f"FROM a{j - 1} a", f"FROM b{i}_{j - 1} a").replace(f"FROM a{j - 1} UNION", f"FROM b{i}_{j - 1} UNION") for j, x in enumerate(o.and_active(start, 3, 12))]
+        steps = [x.replace("JOIN live l ON l.r = a.r AND", "JOIN live0 l ON l.r = a.r // 1000000000 AND").replace("JOIN live gate ON gate.r = a.r AND", "JOIN live0 gate ON gate.r = a.r // 1000000000 AND") for x in steps]
+        ctes += [*steps, f"s{i} AS MATERIALIZED (SELECT r % 1000000000 AS node, COUNT(*) AS spread FROM b{i}_12 GROUP BY 1 ORDER BY spread DESC, node LIMIT 1)"]
+        earlier = "$ IN (SELECT node FROM s1)"
+    rows = "SELECT 1::INTEGER AS rank, node, spread AS gain, spread AS covered FROM s1 UNION ALL SELECT 2, s2.node, s2.spread - s1.spread, s2.spread FROM s1, s2 WHERE s2.spread > s1.spread"
+    return o.query([*base, *ctes], rows)
+
+
+def _and_greedy(strategy: str) -> Query:
+    return lambda spark, d: baselines.world_greedy(held(build(users(spark, d), "IC2MIX", 3, **_MIX)), 2, _W, strategy=strategy).table(spark)
+
+
+register("world_greedy_all_factor_3", _and_greedy_sql())(_and_greedy("auto"))
+register("world_greedy_all_factor_3_relational", ORACLE_SQL["world_greedy_all_factor_3"])(_and_greedy("relational"))
 
 
 def _facts(spark, **facts) -> DataFrame:
     return spark.createDataFrame([tuple(facts.values())], list(facts))
 
 
+def _joined(seeds: list[int]) -> str:
+    return " ".join(map(str, seeds))
+
+
 @register("imm_ic_2")
 def imm_ic(spark, d):
     r = select.imm(held(build(users(spark, d), "IC", 2)), 3, eps=0.5)
-    return _facts(spark, seeds=r.cover.seeds, theta=r.theta, lower=r.lower, influence=r.influence)
+    return _facts(spark, seeds=_joined(r.cover.seeds), theta=r.theta, lower=r.lower, influence=r.influence)
+
+
+_HALF = 2000
+
+
+def _opim_sql(model: str, k: int, sets: int, ctes: list[str], rows: str) -> str:
+    return o.query([o.USER_SEQ, *o.rr(model, 2, sets, 45), *o.sample(model, 2, sets, 46, "2"), *o.cover(k)[0], *o.opim(k, sets), f"sel AS ({o.cover(k)[1]})", *ctes], rows, True)
 
 
-@register("opim_ic_2")
+@register(
+    "opim_ic_2",
+    _opim_sql("IC", 3, _HALF, [], f"""SELECT (SELECT string_agg(node::VARCHAR, ' ' ORDER BY rank) FROM sel) AS seeds, {_HALF}::BIGINT AS sets, round(ratio, 9) AS ratio,
+      round(covered2 * (SELECT COUNT(*) FROM v) / {_HALF}.0::DOUBLE, 6) AS influence FROM found"""),
+)
 def opim_ic(spark, d):
-    r = select.opim(held(build(users(spark, d), "IC", 2)), 3, 4000)
-    return _facts(spark, seeds=r.cover.seeds, sets=r.sets, ratio=r.ratio, influence=float(r.influence))
+    r = select.opim(held(build(users(spark, d), "IC", 2)), 3, 2 * _HALF)
+    return _facts(spark, seeds=_joined(r.cover.seeds), sets=r.sets, ratio=round(r.ratio, 9), influence=round(float(r.influence), 6))
+
+
+@register("opim_all_factor_3")
+def opim_all_factor(spark, d):
+    r = select.opim(_sampler_mix(spark, d).g, 2, 2 * SETS)
+    return _facts(spark, seeds=_joined(r.cover.seeds), sets=r.sets, ratio=r.ratio, influence=float(r.influence))
 
 
 @register("opimc_ic_2")
 def opimc_ic(spark, d):
     r = select.opimc(held(build(users(spark, d), "IC", 2)), 3, eps=0.4)
-    return _facts(spark, seeds=r.cover.seeds, sets=r.sets, ratio=r.ratio, influence=float(r.influence), accepted=r.accepted)
+    return _facts(spark, seeds=_joined(r.cover.seeds), sets=r.sets, ratio=r.ratio, influence=float(r.influence), accepted=r.accepted)
+
+
+def _prefix_out(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "k", "covered_rr", F.round("self_influence", 6).alias("self_influence"), F.array_join("seeds", " ").alias("seeds"),
+        F.round("validation_influence", 6).alias("validation_influence"), F.round("approximation_for_kmax", 9).alias("approximation_for_kmax"), F.col("rr_sets").cast("long").alias("rr_sets"),
+    )
 
 
 @register("opimc_prefix_ic_3")
 def opimc_prefix(spark, d):
-    return select.opimc_prefix(held(build(users(spark, d), "IC", 3)), [1, 2, 4], total=2000)[1]
+    return _prefix_out(select.opimc_prefix(held(build(users(spark, d), "IC", 3)), [1, 2, 4], eps=0.4)[1])
+
+
+_share = "((SELECT COUNT(*) FROM v) / 1000.0::DOUBLE)"
 
 
-@register("opim_prefix_lt_2")
+@register(
+    "opim_prefix_lt_2",
+    _opim_sql("LT", 3, 1000, ["ks AS (SELECT unnest([0, 1, 3])::INTEGER AS k)"], f"""SELECT k, (SELECT COALESCE(MAX(covered), 0) FROM sel WHERE rank <= k)::BIGINT AS covered_rr,
+      round((SELECT COALESCE(MAX(covered), 0) FROM sel WHERE rank <= k) * {_share}, 6) AS self_influence, COALESCE((SELECT string_agg(node::VARCHAR, ' ' ORDER BY rank) FROM sel WHERE rank <= k), '') AS seeds,
+      round((SELECT COUNT(DISTINCT rr_id) FROM rr2 WHERE node IN (SELECT node FROM sel WHERE rank <= k)) * {_share}, 6) AS validation_influence, (SELECT round(ratio, 9) FROM found) AS approximation_for_kmax, 1000::BIGINT AS rr_sets FROM ks"""),
+)
 def opim_prefix(spark, d):
-    return select.opim_prefix(held(build(users(spark, d), "LT", 2)), [0, 1, 3], 2000)[1]
+    return _prefix_out(select.opim_prefix(held(build(users(spark, d), "LT", 2)), [0, 1, 3], 2000)[1])
 
 
 @register("imm_prefix_trigger_2")
 def imm_prefix(spark, d):
-    return select.imm_prefix(held(build(users(spark, d), "TRIGGER", 2)), [1, 3], eps=0.5)[1]
+    return select.imm_prefix(held(build(users(spark, d), "TRIGGER", 2)), [1, 3], eps=0.5)[1].withColumn("seeds", F.array_join("seeds", " "))
 
 
 @register("stopping_rule_ic_2")
 def stopping_rule(spark, d):
     e = users(spark, d)
     s = rrsets.Sampler(held(build(e, "IC", 2)))
-    estimate, sets = rrsets.stopping_rule(s, [r.id for r in baselines.max_degree(e, s.g.nodes, 3).collect()], eps=0.2)
-    return _facts(spark, influence=estimate, sets=sets)
+    found = rrsets.stopping_rule(s, [r.id for r in baselines.max_degree(e, s.g.nodes, 3).collect()], eps=0.2)
+    return _facts(spark, influence=found.influence, sets=found.sets, reached=found.reached)
+
+
+_USES = [
+    "tie AS MATERIALIZED (SELECT r, dst AS target, src AS parent, -1 AS factor FROM live WHERE dst % 8 = 0 AND src % 8 = 0 UNION ALL SELECT g.r, g.dst, u.src, (g.src % 8)::INTEGER FROM live g JOIN live u ON u.r = g.r AND u.dst = g.src WHERE g.dst % 8 = 0 AND g.src % 8 > 0)",
+    f"root AS MATERIALIZED ({o.root_query(44, SETS)})",
+    "ob(r, node) AS (SELECT r, node FROM root UNION SELECT ob.r, tie.parent FROM ob JOIN tie ON tie.r = ob.r AND tie.target = ob.node)",
+]
+_USES_SQL = o.query(
+    [o.USER_SEQ, o.NODES, *o.aux("IC2MIX", 3, **_MIX), *o.live("IC2MIX", 3, o.world_range(SETS), 44), *_USES],
+    """SELECT r AS rr_id, node // 8 AS root, NULL::BIGINT AS parent, node // 8 AS target, NULL::INTEGER AS factor FROM root UNION ALL
+    SELECT ob.r, root.node // 8, tie.parent // 8, tie.target // 8, tie.factor FROM ob JOIN tie ON tie.r = ob.r AND tie.target = ob.node JOIN root ON root.r = ob.r""", True,
+)
 
 
-@register("stateful_samples_3")
+@register("stateful_samples_3", _USES_SQL)
 def stateful_samples(spark, d):
     return _sampler_mix(spark, d).uses(0, SETS)
 
 
+@register("stateful_samples_3_relational", _USES_SQL)
+def stateful_samples_relational(spark, d):
+    return rrsets.Sampler(held(build(users(spark, d), "IC2MIX", 3, **_MIX)), strategy="relational").uses(0, SETS)
+
+
 def _sampler_mix(spark, d) -> rrsets.Sampler:
-    return rrsets.Sampler(held(build(users(spark, d), "IC2MIX", 3, p=0.75, ratio=0.3)))
+    return rrsets.Sampler(held(build(users(spark, d), "IC2MIX", 3, **_MIX)))
 
 
 @register("all_factor_greedy_3")
 def all_factor_greedy(spark, d):
-    return select.all_factor_greedy(held(build(users(spark, d), "IC2MIX", 3, p=0.75, ratio=0.3)), 3, SETS)[0].table(spark)
+    return select.all_factor_greedy(held(build(users(spark, d), "IC2MIX", 3, **_MIX)), 3, SETS)[0].table(spark)
 
 
 # ---------------------------------------------------------------- social
@@ -448,6 +532,17 @@ def social_graph(spark, d) -> social.SocialGraph:
     return social.SocialGraph(stored(g.nodes, "nodes"), stored(g.edges, "edges"))
 
 
+def weighted_social(spark, d) -> social.SocialGraph:
+    """The same with thresholds of a configuration as weights, here drawn from 0.05 .. 0.95."""
+    g = social_graph(spark, d)
+    drawn = F.lit(0.05) + F.lit(0.9) * uniform("tie", 51, F.col("src"), F.col("dst"))
+    g = social.with_weights(g, g.edges.select("src", "dst", drawn.alias("threshold")))
+    return social.SocialGraph(g.nodes, stored(g.edges, "edges"))
+
+
+_WEIGHTED = [*_SOCIAL, f"gw AS MATERIALIZED (SELECT src, dst, {o.num(0.05)} + {o.num(0.9)} * {sql_uniform('tie', 51, 'src', 'dst')} AS weight FROM ge)"]
+
+
 @register("social_selected", o.query(_SOCIAL, "SELECT user_id, interact_id FROM sel"))
 def social_selected(spark, d):
     u, inter, _, seeds = social_tables(spark, d)
@@ -474,56 +569,142 @@ def social_degree_scores(spark, d):
     return social.degree_score(g.nodes.select("node"), g.edges).select("node", F.round("score", 9).alias("score"))
 
 
-@register("social_pi_scores", o.query(_SOCIAL, "SELECT src AS node, COUNT(*)::DOUBLE AS score FROM ge GROUP BY src"))
+_PI = " * ".join(f"(1.0::DOUBLE - power(weight, {i}))" for i in range(1, 6))
+
+
+@register("social_edges_weighted", o.query(_WEIGHTED, "SELECT src, dst, round(weight, 9) AS weight FROM gw"))
+def social_edges_weighted(spark, d):
+    return weighted_social(spark, d).edges.select("src", "dst", F.round("weight", 9).alias("weight"))
+
+
+@register("social_pi_scores", o.query(_WEIGHTED, f"SELECT src AS node, round(SUM(1.0::DOUBLE - {_PI}), 9) AS score FROM gw GROUP BY src"))
 def social_pi_scores(spark, d):
-    g = social_graph(spark, d)
-    return social.pi_score(g.nodes.select("node"), g.edges)
+    g = weighted_social(spark, d)
+    return social.pi_score(g.nodes.select("node"), g.edges).select("node", F.round("score", 9).alias("score"))
 
 
-_x = ["x0 AS (SELECT node, 1.0::DOUBLE AS x FROM gn)"] + [
-    f"x{i} AS MATERIALIZED (SELECT a.node, a.x + COALESCE(m, 0) AS x FROM x{i - 1} a LEFT JOIN (SELECT src, SUM(x) AS m FROM ge JOIN x{i - 1} ON node = dst GROUP BY src) ON src = a.node)" for i in range(1, 6)
-]
+def _sigma_sql(tag: str, nodes: str, ties: str) -> list[str]:
+    steps = [
+        f"x{tag}{i} AS MATERIALIZED (SELECT a.node, a.x + COALESCE(m, 0) AS x FROM x{tag}{i - 1} a LEFT JOIN (SELECT src, SUM(power(weight, {i}) * x) AS m FROM {ties} JOIN x{tag}{i - 1} ON node = dst GROUP BY src) ON src = a.node)"
+        for i in range(1, 6)
+    ]
+    return [f"x{tag}0 AS (SELECT node, 1.0::DOUBLE AS x FROM {nodes})", *steps, f"sc{tag} AS (SELECT node, x AS score FROM x{tag}5)"]
+
+
+def _eigen_sql(tag: str, nodes: str, ties: str, rounds: int = 24) -> list[str]:
+    out = [f"x{tag}0 AS (SELECT node, 1.0::DOUBLE AS x FROM {nodes})"]
+    for i in range(1, rounds + 1):
+        step = f"SELECT a.node, a.x + COALESCE(m, 0) AS x FROM x{tag}{i - 1} a LEFT JOIN (SELECT dst, SUM(weight * x) AS m FROM {ties} JOIN x{tag}{i - 1} ON node = src GROUP BY dst) ON dst = a.node"
+        if i % 6 == 0 or i == rounds:
+            step = f"SELECT node, x / sqrt(SUM(x * x) OVER ()) AS x FROM ({step})"
+        out.append(f"x{tag}{i} AS MATERIALIZED ({step})")
+    return [*out, f"sc{tag} AS (SELECT node, x AS score FROM x{tag}{rounds})"]
+
+
+def _degree_sql(tag: str, nodes: str, ties: str) -> list[str]:
+    return [f"sc{tag} AS (SELECT node, COUNT(*)::DOUBLE / greatest((SELECT COUNT(*) FROM {nodes}) - 1, 1) AS score FROM (SELECT unnest([src, dst]) AS node FROM {ties}) GROUP BY node)"]
+
+
+def _pi_sql(tag: str, nodes: str, ties: str) -> list[str]:
+    return [f"sc{tag} AS (SELECT src AS node, SUM(1.0::DOUBLE - {_PI}) AS score FROM {ties} GROUP BY src)"]
 
 
-@register("social_sigma_scores", o.query([*_SOCIAL, *_x], "SELECT node, x AS score FROM x5"))
+def _adaptive_sql(score) -> str:
+    """Two picks: the best user, and the best one once that is taken out."""
+    top = "SELECT n.node, round(COALESCE(score, 0.0), 9) AS score FROM {0} n LEFT JOIN sc{1} s ON s.node = n.node WHERE n.node % 8 = 0 ORDER BY 2 DESC, 1 LIMIT 1"
+    ctes = [
+        *score("a", "gn", "gw"), f"t1 AS MATERIALIZED ({top.format('gn', 'a')})", "gn2 AS (SELECT node FROM gn WHERE node <> (SELECT node FROM t1))",
+        "gw2 AS (SELECT * FROM gw WHERE (SELECT node FROM t1) NOT IN (src, dst))", *score("b", "gn2", "gw2"), f"t2 AS MATERIALIZED ({top.format('gn2', 'b')})",
+    ]
+    return o.query([*_WEIGHTED, *ctes], "SELECT 1::INTEGER AS rank, node // 8 AS vertex, score FROM t1 UNION ALL SELECT 2, node // 8, score FROM t2")
+
+
+@register("social_sigma_scores", o.query([*_WEIGHTED, *_sigma_sql("a", "gn", "gw")], "SELECT node, round(score, 6) AS score FROM sca"))
 def social_sigma_scores(spark, d):
-    g = social_graph(spark, d)
-    return social.sigma_score(g.nodes.select("node"), g.edges)
+    g = weighted_social(spark, d)
+    return social.sigma_score(g.nodes.select("node"), g.edges).select("node", F.round("score", 6).alias("score"))
 
 
-@register(
-    "social_spread_ic",
-    o.query([*_SOCIAL, "st AS (SELECT node FROM gn WHERE node % 8 = 0 ORDER BY node LIMIT 3)",
-             "hop(node, h) AS (SELECT node, 0 FROM st UNION SELECT dst, h + 1 FROM hop JOIN ge ON src = node WHERE h < 4)"],
-            "SELECT 0::BIGINT AS candidate, COUNT(DISTINCT node)::DOUBLE AS spread FROM hop WHERE node % 8 = 0", True),
+_ROUNDS_SOCIAL = 20
+_GLIVE = f"glive AS MATERIALIZED (SELECT r, src, dst FROM gw CROSS JOIN (SELECT unnest(range({_ROUNDS_SOCIAL})) AS r) WHERE {sql_u32('edge', 49, 'r', 'src', 'dst')} < weight * {TWO32!r}::DOUBLE)"
+_FIRST3 = "st AS (SELECT node FROM gn WHERE node % 8 = 0 ORDER BY node LIMIT 3)"
+_EVERY = f"(SELECT unnest(range({_ROUNDS_SOCIAL})) AS r)"
+
+
+def _first3(g: social.SocialGraph) -> list[int]:
+    return [r.node >> 3 for r in g.nodes.where("node_type = 'user'").orderBy("node").limit(3).collect()]
+
+
+_IC_SPREAD_SQL = o.query(
+    [*_WEIGHTED, _GLIVE, _FIRST3, f"hop(r, node, h) AS (SELECT r, node, 0 FROM st CROSS JOIN {_EVERY} UNION SELECT hop.r, dst, h + 1 FROM hop JOIN glive ON glive.r = hop.r AND src = node WHERE h < 4)"],
+    f"SELECT 0::BIGINT AS candidate, COUNT(*) / {_ROUNDS_SOCIAL}.0::DOUBLE AS spread FROM (SELECT DISTINCT r, node FROM hop WHERE node % 8 = 0)", True,
 )
-def social_spread_ic(spark, d):
-    g = social_graph(spark, d)
-    first = [r.node >> 3 for r in g.nodes.where("node_type = 'user'").orderBy("node").limit(3).collect()]
-    return social.user_spread(g, [first], 5)
+_LT = [f"l0 AS MATERIALIZED (SELECT r, node FROM st CROSS JOIN {_EVERY})", "ind AS (SELECT dst, COUNT(*) AS d FROM gw GROUP BY dst)"] + [
+    f"l{i} AS MATERIALIZED (SELECT r, node FROM l{i - 1} UNION SELECT r, m.dst FROM (SELECT r, dst, COUNT(*) AS n FROM l{i - 1} JOIN gw ON src = node GROUP BY r, dst) m JOIN ind ON ind.dst = m.dst WHERE n::DOUBLE / d >= ({sql_u32('threshold', 49, 'r', 'm.dst')} % 19 + 1) / 100.0::DOUBLE)"
+    for i in range(1, 5)
+]
+_LT_SPREAD_SQL = o.query([*_WEIGHTED, _FIRST3, *_LT], f"SELECT 0::BIGINT AS candidate, COUNT(*) / {_ROUNDS_SOCIAL}.0::DOUBLE AS spread FROM l4 WHERE node % 8 = 0")
+for _m, _sql in (("ic", _IC_SPREAD_SQL), ("lt", _LT_SPREAD_SQL)):
+    for _s in ("auto", "relational"):
+
+        def _social_spread(spark, d, m=_m.upper(), s=_s):
+            g = weighted_social(spark, d)
+            return social.user_spread(g, [_first3(g)], _ROUNDS_SOCIAL, m, strategy=s)
+
+        register(f"social_spread_{_m}" + ("_relational" if _s == "relational" else ""), _sql)(_social_spread)
 
 
 def _picks(spark, rows) -> DataFrame:
-    return spark.createDataFrame([(k, int(v), float(s)) for k, (v, s) in enumerate(rows, 1)], "rank int, vertex long, score double")
+    return spark.createDataFrame([(k, int(v), round(float(s), 9)) for k, (v, s) in enumerate(rows, 1)], "rank int, vertex long, score double")
 
 
-for _name, _f in (("degree", social.degree_seeds), ("pi", social.pi_seeds), ("sigma", social.sigma_seeds), ("eigen", social.eigen_seeds), ("ris", social.ris_seeds)):
-    register(f"social_{_name}_seeds")(lambda spark, d, f=_f: _picks(spark, f(social_graph(spark, d), 2)))
+_RIS = [
+    f"rlive AS MATERIALIZED (SELECT r, src, dst FROM gw CROSS JOIN (SELECT unnest(range(200)) AS r) WHERE {sql_u32('edge', 50, 'r', 'src', 'dst')} < weight * {TWO32!r}::DOUBLE)",
+    "gu AS (SELECT node // 8 AS id FROM gn WHERE node % 8 = 0)",
+    f"rb(r, node) AS ({o.root_query(50, 200, 'gu')} UNION SELECT rb.r, rlive.src FROM rb JOIN rlive ON rlive.r = rb.r AND rlive.dst = rb.node)",
+    "rs AS MATERIALIZED (SELECT r, node // 8 AS node FROM rb WHERE node % 8 = 0)",
+    "t1 AS MATERIALIZED (SELECT node, COUNT(*) AS c FROM rs WHERE r < 100 GROUP BY node ORDER BY c DESC, node LIMIT 1)",
+    "rs2 AS (SELECT r, node FROM rs WHERE (r < 100 AND r NOT IN (SELECT r FROM rs WHERE node = (SELECT node FROM t1))) OR (r >= 100 AND r < 100 + (SELECT c FROM t1)))",
+    "t2 AS (SELECT node, COUNT(*) AS c FROM rs2 WHERE node <> (SELECT node FROM t1) GROUP BY node ORDER BY c DESC, node LIMIT 1)",
+]
+_RIS_SQL = o.query([*_WEIGHTED, *_RIS], "SELECT 1::INTEGER AS rank, node AS vertex, c::DOUBLE AS score FROM t1 UNION ALL SELECT 2, node, c::DOUBLE FROM t2", True)
+for _name, _f, _sql in (
+    ("degree", social.degree_seeds, _adaptive_sql(_degree_sql)), ("pi", social.pi_seeds, _adaptive_sql(_pi_sql)), ("sigma", social.sigma_seeds, _adaptive_sql(_sigma_sql)),
+    ("eigen", social.eigen_seeds, _adaptive_sql(_eigen_sql)), ("ris", social.ris_seeds, _RIS_SQL),
+):
+    register(f"social_{_name}_seeds", _sql)(lambda spark, d, f=_f: _picks(spark, f(weighted_social(spark, d), 2)))
+
+_GREEDY = [
+    _GLIVE.replace(f"range({_ROUNDS_SOCIAL})", "range(3)"),
+    "hop(r, c, node, h) AS (SELECT r, node, node, 0 FROM gn CROSS JOIN (SELECT unnest(range(3)) AS r) WHERE node % 8 = 0 UNION SELECT hop.r, c, dst, h + 1 FROM hop JOIN glive ON glive.r = hop.r AND src = node WHERE h < 4)",
+    "ball AS MATERIALIZED (SELECT DISTINCT c, r, node FROM hop WHERE node % 8 = 0)",
+    "t1 AS MATERIALIZED (SELECT c, COUNT(*) AS n FROM ball GROUP BY c ORDER BY n DESC, c LIMIT 1)",
+    "have AS MATERIALIZED (SELECT r, node FROM ball WHERE c = (SELECT c FROM t1))",
+    "more AS (SELECT b.c, COUNT(*) FILTER (h.r IS NULL) AS n FROM ball b LEFT JOIN have h ON h.r = b.r AND h.node = b.node WHERE b.c <> (SELECT c FROM t1) GROUP BY b.c ORDER BY n DESC, b.c LIMIT 1)",
+]
+_GREEDY_SQL = o.query([*_WEIGHTED, *_GREEDY], "SELECT 1::INTEGER AS rank, c // 8 AS vertex, round(n / 3.0::DOUBLE, 9) AS score FROM t1 UNION ALL SELECT 2, more.c // 8, round((more.n + t1.n) / 3.0::DOUBLE, 9) FROM more, t1", True)
 for _name, _f in (("greedy", social.greedy_seeds), ("celf", social.celf_seeds), ("celfpp", social.celfpp_seeds)):
-    register(f"social_{_name}_seeds")(lambda spark, d, f=_f: _picks(spark, f(social_graph(spark, d), 2, 3)))
+    register(f"social_{_name}_seeds", _GREEDY_SQL)(lambda spark, d, f=_f: _picks(spark, f(weighted_social(spark, d), 2, 3)))
 
 
-@register("social_spread_lt")
-def social_spread_lt(spark, d):
-    g = social_graph(spark, d)
-    first = [r.node >> 3 for r in g.nodes.where("node_type = 'user'").orderBy("node").limit(3).collect()]
-    return social.user_spread(g, [first], 20, "LT")
+# ---------------------------------------------------------------- experiments and outputs
 
 
-# ---------------------------------------------------------------- experiments and outputs
+_chosen = " UNION ALL ".join([
+    "SELECT 'MaxDegree' AS a, ROW_NUMBER() OVER (ORDER BY degree DESC, id) AS rank, id FROM top",
+    f"SELECT 'Random', ROW_NUMBER() OVER (ORDER BY {sql_u32('random', 42, 'id')}, id), id FROM v",
+    "SELECT 'MF-RR', rank, node FROM sel",
+])
+_EXPERIMENT_SQL = o.query(
+    [o.USER_SEQ, *o.rr("IC", 2, 400, 42), *o.cover(4)[0], f"sel AS ({o.cover(4)[1]})", o.top_out(4), f"chosen AS MATERIALIZED ({_chosen})", *o.live("IC", 2, o.world_range(20), 43, "w"),
+     "fwd(a, size, r, node) AS (SELECT a, size, r, id * 8 FROM chosen JOIN (SELECT unnest([2, 4]) AS size) ON rank <= size CROSS JOIN ww UNION SELECT a, size, fwd.r, livew.dst FROM fwd JOIN livew ON livew.r = fwd.r AND livew.src = fwd.node)",
+     "score AS (SELECT a, size, COUNT(*) / 20.0::DOUBLE AS i FROM fwd WHERE node % 8 = 0 GROUP BY a, size)"],
+    """SELECT s::INTEGER AS size, COALESCE(MAX(i) FILTER (a = 'MaxDegree'), 0.0) AS "MaxDegree", COALESCE(MAX(i) FILTER (a = 'Random'), 0.0) AS "Random", COALESCE(MAX(i) FILTER (a = 'MF-RR'), 0.0) AS "MF-RR"
+    FROM (SELECT unnest([0, 2, 4]) AS s) LEFT JOIN score ON size = s GROUP BY s""", True,
+)
 
 
-@register("experiment_wide")
+@register("experiment_wide", _EXPERIMENT_SQL)
 def experiment_wide(spark, d):
     return wide(run_experiment(users(spark, d), ["MaxDegree", "Random", "MF-RR"], [0, 2, 4], "MFIC", 2, worlds=20, theta=400))
 

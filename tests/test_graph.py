@@ -176,11 +176,16 @@ def test_argument_errors(spark, toy):
 def test_formulas():
     assert select.log_choose(10, 3) == pytest.approx(math.log(120))
     assert select.log_choose(3, 5) == -math.inf
-    x, theta = select.imm_rounds(16, 2, 0.5, 1.0)[0]
+    plan = select.ImmBounds(16, 2, 0.5, 1.0)
     e = math.sqrt(2) * 0.5
-    assert x == 8 and theta == math.ceil((2 + 2 * e / 3) * (math.log(120) + math.log(16) + math.log(4)) * 16 / e**2 / 8)
-    assert len(select.imm_rounds(16, 2, 0.5, 1.0)) == 3
-    assert select.imm_theta(16, 2, 0.5, 1.0, 4.0) < select.imm_theta(16, 2, 0.5, 1.0, 1.0)
+    assert plan.guesses() == [8, 4, 2]
+    assert plan.sets_for_guess(8) == math.ceil((2 + 2 * e / 3) * (math.log(120) + math.log(16) + math.log(4)) * 16 / e**2 / 8)
+    assert plan.sets_to_select(4.0) < plan.sets_to_select(1.0)
+    assert plan.accepted(8 * (1 + e), 8) == pytest.approx(8) and plan.accepted(8, 8) is None
+    part = 1 - 1 / math.e
+    alpha, beta = math.sqrt(math.log(16) + math.log(2)), math.sqrt(part * (math.log(120) + math.log(16) + math.log(2)))
+    assert plan.sets_to_select(2.0) == math.ceil(2 * 16 * (part * alpha + beta) ** 2 / 0.25 / 2)
+    assert select.ImmBounds.of(1, 1, 0.5, 1.0).guesses() == [] and select.ImmBounds.of(1, 5, 0.5, 1.0).sets_to_select(1.0) >= 1
     base, most, rounds, a = select.opimc_plan(1000, 10, 0.1, 0.001)
     assert rounds == int(math.log2(most // base)) + 1 and a == pytest.approx(math.log(3 * rounds / 0.001))
     assert select.opim_ratio(900, 1000, 5) < 0.9
@@ -230,3 +235,127 @@ def test_imm_caps_the_last_sample_only(toy, monkeypatch):
     registry.imm_ic(toy.sparkSession, "")
     registry.imm_prefix(toy.sparkSession, "")
     assert len(given) == 2 and not any("max_theta" in b for b in given)
+
+
+def test_imm_and_opimc_against_plain_sets(spark, toy):
+    """The whole search with Python sets over the same samples."""
+    g = A.build(toy, "IC", 2)
+
+    def sets_of(seed, count):
+        out = [set() for _ in range(count)]
+        for r in rrsets.Sampler(g, seed).take(0, count).collect():
+            out[r.rr_id].add(r.node)
+        return out
+
+    def greedy(sets, k):
+        picks, left = [], list(sets)
+        for _ in range(k):
+            best = max((1, 2, 3, 4), key=lambda n: (n not in picks, sum(n in s for s in left), -n))
+            picks.append(best)
+            left = [s for s in left if best not in s]
+        return picks, len(sets) - len(left)
+
+    found = select.imm(g, 2, eps=0.6)
+    plan = select.ImmBounds.of(4, 2, 0.6, 1.0)
+    lower = None
+    for guess in plan.guesses():
+        n = plan.sets_for_guess(guess)
+        lower = plan.accepted(4 * greedy(sets_of(44, n), 2)[1] / n, guess)
+        if lower:
+            break
+    theta = plan.sets_to_select(lower or 1.0)
+    assert (found.lower, found.theta) == (lower or 1.0, theta)
+    picks, covered = greedy(sets_of(45, theta), 2)
+    assert found.cover.seeds == picks and found.influence == pytest.approx(4 * covered / theta)
+
+    found = select.opimc(g, 1, eps=0.3, delta=0.05)
+    sets, most, rounds, a = select.opimc_plan(4, 1, 0.3, 0.05)
+    for _ in range(rounds):
+        one, two = sets_of(45, sets), sets_of(46, sets)
+        picks, covered = greedy(one, 1)
+        top = max(sum(n in s for s in one) for n in (1, 2, 3, 4))
+        after = [s for s in one if picks[0] not in s]
+        bound = min(top, covered + max(sum(n in s for s in after) for n in (1, 2, 3, 4)))
+        ratio = select.opim_ratio(sum(picks[0] in s for s in two), bound, a)
+        if ratio >= 1 - 1 / math.e - 0.3 or sets == most:
+            break
+        sets = min(2 * sets, most)
+    assert (found.cover.seeds, found.sets, found.ratio) == (picks, sets, pytest.approx(ratio))
+
+
+def test_all_factor_opim_validates_on_fresh_samples(spark, toy):
+    g = A.build(toy, "IC2MIX", 2, p=0.7, ratio=0.6)
+    r = select.opim(g, 2, 200)
+    cover, _ = select.all_factor_greedy(g, 2, 100, seed=45)
+    fresh = select.sample_rows(rrsets.Sampler(g, 46).uses(0, 1000))
+    assert r.cover.picks == cover.picks and r.validation_sets == 1000
+    assert r.influence == pytest.approx(4 * select.all_factor_covered(fresh, cover.seeds, 2) / 1000)
+    rows = {x.k: x for x in select.opim_prefix(g, [0, 1, 2], 200)[1].collect()}
+    assert rows[0].validation_influence == 0 and rows[2].validation_influence == pytest.approx(r.influence)
+    assert select.opimc(g, 1, eps=0.5, delta=0.1, total=100).sets == 50
+
+
+def test_all_factor_strategies_agree(spark, toy):
+    g = A.build(toy, "IC2MIX", 3, p=0.8, ratio=0.7)
+    s = ids(spark, 1, 2)
+    one, two = ({(r.r, r.spread) for r in spread.all_factor_spread(g, s, 30, strategy=x).collect()} for x in ("local", "relational"))
+    assert one == two
+    one, two = (sorted(map(str, rrsets.Sampler(g, 5, x).uses(3, 40).collect())) for x in ("local", "relational"))
+    assert one == two
+    one, two = (baselines.gated_greedy(g, 2, 6, strategy=x).picks for x in ("local", "relational"))
+    assert one == two
+
+
+def test_lazy_greedy_is_greedy_and_tries_less(spark):
+    import random
+
+    r = random.Random(1)
+    sets = {n: set(r.sample(range(400), r.choice([5, 40, 41]))) for n in range(150)}
+    gains = spark.createDataFrame([(n, float(len(s))) for n, s in sets.items()], "node long, gain double")
+
+    def evaluate(chosen, some):
+        have = set().union(*(sets[c] for c in chosen))
+        return {n: len(sets[n] - have) for n in some}
+
+    picks, tried = select.lazy_greedy(gains, 6, evaluate, batch=5)
+    want, have = [], set()
+    for _ in range(6):
+        best = max((n for n in sets if n not in {x for x, _ in want}), key=lambda n: (len(sets[n] - have), -n))
+        want.append((best, float(len(sets[best] - have))))
+        have |= sets[best]
+    assert picks == want and tried < 5 * 150
+
+
+def test_reach_greedy_against_plain_walk(spark):
+    import random
+
+    r = random.Random(9)
+    for _ in range(3):
+        edges = {tuple(r.sample(range(14), 2)) for _ in range(16)} | {(0, 1), (1, 2), (2, 0)}
+        e = spark.createDataFrame(sorted(edges), "src long, dst long")
+        nodes = sorted({n for x in edges for n in x})
+
+        def reach(n):
+            seen, todo = {n}, [n]
+            while todo:
+                x = todo.pop()
+                new = {b for a, b in edges if a == x} - seen
+                seen |= new
+                todo += new
+            return seen
+
+        have, want = set(), []
+        for _ in range(3):
+            best = max((n for n in nodes if n not in {x for x, _ in want}), key=lambda n: (len(reach(n) - have), -n))
+            want.append((best, len(reach(best) - have)))
+            have |= reach(best)
+        assert baselines.reach_greedy(e, ids(spark, *nodes), 3).picks == want
+
+
+def test_loops_that_do_not_settle_fail(spark, toy):
+    start = spark.createDataFrame([(0, 1)], "r long, node long")
+    with pytest.raises(RuntimeError):
+        spread.closure(start, lambda f: f.selectExpr("r", "node + 1 AS node"), max_rounds=3)
+    g = A.build(toy, "IC", 2)
+    few = rrsets.stopping_rule(rrsets.Sampler(g), [4], first_batch=10, max_sets=25)
+    assert not few.reached and few.sets == 25
