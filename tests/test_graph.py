@@ -306,6 +306,22 @@ def test_all_factor_strategies_agree(spark, toy):
     assert one == two
 
 
+@pytest.mark.parametrize("bounds", [False, True])
+def test_one_task_covers_like_the_rounds(spark, bounds):
+    import random
+
+    r = random.Random(4)
+    rows = [(q, n, 1 + q % 3) for q in range(90) for n in r.sample(range(-5, 25), r.randint(1, 4))]
+    rr = spark.createDataFrame(rows, "rr_id long, node long, weight long")
+    nodes = ids(spark, *range(-5, 40))
+    for sets in (rr, rr.drop("weight"), rr.limit(0)):
+        for k in (1, 7, 45):
+            one, many = (select.greedy_cover(sets, nodes, k, bounds, skip_zero=k < 45, one_task=n) for n in (10**6, -1))
+            assert one == many
+            if k == 1:
+                break
+
+
 def test_lazy_greedy_is_greedy_and_tries_less(spark):
     import random
 
