@@ -108,7 +108,9 @@ def read_weighted(spark: SparkSession, path: str, header: bool = False, expected
 # ---------------------------------------------------------------- binary
 
 
-def _blocks(spark: SparkSession, path: str, decode: Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+def _blocks(content: DataFrame, decode: Callable[[bytes], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """Edges of each row of one binary column."""
+
     def run(batches):
         for batch in batches:
             for content in batch.column(0):
@@ -117,7 +119,11 @@ def _blocks(spark: SparkSession, path: str, decode: Callable[[bytes], tuple[np.n
                     z = slice(a, a + (1 << 20))
                     yield pa.RecordBatch.from_arrays([pa.array(src[z].astype(np.int64)), pa.array(dst[z].astype(np.int64)), pa.array(prob[z].astype(np.float64))], names=["src", "dst", "prob"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "src long, dst long, prob double")
+    return content.mapInArrow(run, "src long, dst long, prob double")
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("content")
 
 
 RECORD = np.dtype([("src", "<i4"), ("dst", "<i4"), ("prob", "<f4")])
@@ -125,14 +131,19 @@ RECORD = np.dtype([("src", "<i4"), ("dst", "<i4"), ("prob", "<f4")])
 
 def read_binary_edges(spark: SparkSession, path: str) -> DataFrame:
     """Records (int32, int32, float32); a file is decoded as a whole in one task."""
+    return _blocks(_files(spark, path), _records)
+
+
+def read_packed_edges(spark: SparkSession, path: str) -> DataFrame:
+    """The same records in the table that ``sinks.write_graph_binary`` writes."""
+    return _blocks(spark.read.parquet(path).select("records"), _records)
 
-    def decode(raw: bytes):
-        if len(raw) % RECORD.itemsize:
-            raise ValueError("the file is no whole number of records")
-        a = np.frombuffer(raw, RECORD)
-        return a["src"], a["dst"], a["prob"]
 
-    return _blocks(spark, path, decode)
+def _records(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if len(raw) % RECORD.itemsize:
+        raise ValueError("the file is no whole number of records")
+    a = np.frombuffer(raw, RECORD)
+    return a["src"], a["dst"], a["prob"]
 
 
 def read_reverse_adjacency(spark: SparkSession, path: str) -> DataFrame:
@@ -152,7 +163,7 @@ def read_reverse_adjacency(spark: SparkSession, path: str) -> DataFrame:
         none = np.zeros(0)
         return tuple(np.concatenate([none, *x]) for x in (src, dst, prob))
 
-    return _blocks(spark, path, decode)
+    return _blocks(_files(spark, path), decode)
 
 
 # ---------------------------------------------------------------- weights

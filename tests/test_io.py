@@ -71,6 +71,8 @@ def test_graph_round_trips(spark, tmp_path, small):
     sinks.write_graph_binary(small, str(tmp_path / "b"))
     raw = b"".join(r[0] for r in spark.read.parquet(str(tmp_path / "b")).collect())
     assert sorted((r["src"], r["dst"]) for r in np.frombuffer(raw, src.RECORD)) == [x[:2] for x in want]
+    packed = sorted(map(tuple, src.read_packed_edges(spark, str(tmp_path / "b")).collect()))
+    assert [x[:2] for x in packed] == [x[:2] for x in want] and all(abs(x[2] - y[2]) < 1e-6 for x, y in zip(packed, want))
 
 
 def test_attributes(spark, tmp_path):
