@@ -8,7 +8,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,20 @@ def repeat_words(words: list[str]) -> int:
     return total
 
 
+@cache
+def _letter_table() -> np.ndarray:
+    """Whether each of the first 65,536 code points is a letter, from the pattern itself."""
+    return np.array([bool(_LETTER.match(chr(k))) for k in range(1 << 16)])
+
+
+def count_letters(text: str) -> int:
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = cp < 1 << 16
+    if low.all():
+        return int(np.count_nonzero(_letter_table()[cp]))
+    return int(np.count_nonzero(_letter_table()[cp[low]])) + len(_LETTER.findall("".join(map(chr, cp[~low].tolist()))))
+
+
 def measure(text: str | None) -> tuple:
     text = text or ""
     words = _WORD.findall(text)
@@ -56,7 +72,7 @@ def measure(text: str | None) -> tuple:
     lines = [x for x in text.split("\n") if _WORD.search(x)]
     dup = len(lines) - len(set(lines))
     repeats = repeat_words(words)
-    letters = len(_LETTER.findall(text))
+    letters = count_letters(text)
     counts = Counter(words)
     d = max(n, 1)
     return (
