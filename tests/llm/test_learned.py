@@ -38,6 +38,14 @@ def test_base_counts():
     assert stats.measure(None)[:5] == stats.measure("")[:5] == (0,) * 5
 
 
+def test_letters_are_those_of_the_pattern():
+    every = "".join(chr(k) for k in range(0x110000) if not 0xD800 <= k < 0xE000)
+    for at in range(0, len(every), 997):
+        part = every[at : at + 997]
+        assert stats.count_letters(part) == len(stats._LETTER.findall(part))
+    assert stats.count_letters("") == 0
+
+
 @pytest.mark.parametrize("name", ["op5_quality", "op8_langid", "op9_rules", "op6_secrets"])
 def test_whole_tables(spark, sf, name):
     out = queries.QUERIES[name](spark, sf)

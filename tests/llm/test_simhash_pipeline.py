@@ -112,6 +112,23 @@ def sims(text):
     return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
 
 
+def test_word_hashes_tell_words_apart(monkeypatch):
+    r = random.Random(1)
+    seen = {}
+    for block in (1 << 20, 16):
+        monkeypatch.setattr(simhash, "_HASHED", block)
+        for _ in range(300):
+            words = ["".join(r.choices("abÄé漢z", k=r.choice([1, 2, 5, 9]))) for _ in range(r.randint(0, 12))]
+            text = r.choice(["", " ", "\n"]) + "".join(w + r.choice([" ", "\t\n", "\x0b"]) for w in words)
+            h = simhash.word_hashes(text.upper() if all(w.isascii() for w in words) else text).tolist()
+            assert len(h) == len(words)
+            for w, x in zip(words, h):
+                if len(w.encode()) < 16 - 4:  # a word that fills a block is hashed otherwise
+                    assert seen.setdefault(w, x) == x
+    assert len(set(seen.values())) == len(seen)
+    assert len(simhash.word_hashes(None)) == 0
+
+
 def test_dedup_finds_near_copies_only(spark):
     r = random.Random(11)
     vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(3000)]
