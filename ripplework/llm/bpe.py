@@ -12,6 +12,11 @@ Places are chosen where encodings agree as a rule: at a space or line feed after
 that is not white space.  No word of a byte-level pattern goes across it, so only the
 comparison of tokens, not a property of the vocabulary, decides what is accepted.
 
+A chunk that the store lacks is put together from the tokens of its words, which a worker
+remembers as well; the windows always come from the library, so the comparison also holds
+the two ways of encoding to each other at every join.  (Few chunks of prose are shared, and
+the library alone is too slow for the limits; the README has figures.)
+
 A special token's string in a text is that token, as in the library; texts are split there
 first.  Defined cases: null and empty texts have no tokens; repeated rows repeat results; an
 empty table gives no rows; extra columns are ignored.
@@ -22,7 +27,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import sys
+from array import array
+from bisect import bisect_left
+from collections import ChainMap
+from collections.abc import Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -32,15 +43,27 @@ from .common import columns, map_rows
 
 WINDOW = 16
 #: A cut comes after about so many code points, and no chunk has more than ``LONGEST``.
-MEAN, LONGEST = 256, 8192
+MEAN, LONGEST = 512, 8192
 #: Characters of chunks that one generation of a worker's store holds.
 STORE_CHARS = 4_000_000
+#: Words that a worker remembers with their tokens, and the most characters of one.
+STORE_WORDS, LONGEST_WORD = 200_000, 32
+#: Characters of texts that are worked on at once (one text at least).
+GROUP_CHARS = 400_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 #: White space by Unicode, beyond the control characters and the space.
 _WIDE_SPACE = np.array([0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 
 
+#: The vocabulary's word pattern over code points below U+0250, with its classes spelled out:
+#: contractions; a letter, digit or other run with one space before it; white space, of
+#: which the last one is left to the word behind it.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_LATIN_WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_BEYOND_LATIN = re.compile("[^\x00-\u024f]")
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -104,13 +127,19 @@ class Codec:
         self.bytes = [b""] * size
         for token, i in self.tok.get_vocab(True).items():
             self.bytes[i] = bytes(back[c] for c in token) if all(c in back for c in token) else token.encode()
-        self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.lengths = [len(b) for b in self.bytes]
         self.young: dict[str, np.ndarray] = {}
         self.old: dict[str, np.ndarray] = {}
         self.held = 0
+        #: words and their tokens as bytes of 32-bit integers, which join without boxing
+        self.words: dict[str, bytes] = {}
         #: characters of chunks that were looked up, and of those that the store had
         self.asked = self.found = 0
 
+    def ends(self, tokens: list[int], at: int) -> list[int]:
+        """The places in bytes where tokens end, and first the place ``at`` where they begin."""
+        return list(accumulate(map(self.lengths.__getitem__, tokens), initial=at))
+
     def known(self, piece: str) -> np.ndarray | None:
         ids = self.young.get(piece)
         if ids is None and (ids := self.old.get(piece)) is not None:
@@ -125,8 +154,27 @@ class Codec:
         if self.held > STORE_CHARS:
             self.old, self.young, self.held = self.young, {}, 0
 
+    def library(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids by the library, whose own results are large and held for a few only."""
+        out: list[np.ndarray] = []
+        for few in _groups(pieces, GROUP_CHARS // 4):
+            out += [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(few, add_special_tokens=False)]
+        return out
+
     def encode_new(self, pieces: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
+        """Ids of chunks that the store lacks: Latin ones word by word, with the tokens of short
+        words remembered, the others by the library as a whole."""
+        if len(self.words) > STORE_WORDS:
+            self.words.clear()
+        split = [None if _BEYOND_LATIN.search(p) else _LATIN_WORD.findall(p) for p in pieces]
+        unknown = list(set().union(*(w for w in split if w is not None)).difference(self.words))
+        long: dict[str, bytes] = {}
+        for few in _groups(unknown, GROUP_CHARS // 4):
+            for w, e in zip(few, self.tok.encode_batch_fast(few, add_special_tokens=False)):
+                (self.words if len(w) <= LONGEST_WORD else long)[w] = array("I", e.ids).tobytes()
+        rest = iter(self.library([p for p, w in zip(pieces, split) if w is None]))
+        known = ChainMap(self.words, long).__getitem__ if long else self.words.__getitem__
+        return [next(rest) if w is None else np.frombuffer(b"".join(map(known, w)), np.uint32) for w in split]
 
     def encode_pieces(self, pieces: list[str]) -> dict[str, np.ndarray]:
         """Ids of each piece, encoded unless the store has them."""
@@ -156,13 +204,16 @@ class Codec:
         return [p for p in parts if p != ""]
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        return [ids for few in _groups(texts, GROUP_CHARS) for ids in self._encode_few(few)]
+
+    def _encode_few(self, texts: list[str]) -> list[np.ndarray]:
         plans = [[Plan(p) if isinstance(p, str) else p for p in self.segments(t)] for t in texts]
         every = [p for plan in plans for p in plan if not isinstance(p, int)]
         ids = self.encode_pieces([c for p in every for c in p.chunks])
         for p in every:
             p.join()
         windows = list(dict.fromkeys(p.text[w.a : w.b] for p in every for w in p.windows))
-        repairs = dict(zip(windows, self.encode_new(windows)))
+        repairs = dict(zip(windows, self.library(windows)))
         out = []
         for plan in plans:
             parts = [np.array([p], np.uint32) if isinstance(p, int) else p.result(self, ids, repairs) for p in plan]
@@ -175,6 +226,19 @@ class Codec:
         return b"".join([table[i] for i in ids.tolist()]).decode("utf-8", "replace")
 
 
+def _groups(texts: list[str], chars: int) -> Iterator[list[str]]:
+    """Runs of texts of about so many characters."""
+    few, size = [], 0
+    for t in texts:
+        few.append(t)
+        size += len(t)
+        if size >= chars:
+            yield few
+            few, size = [], 0
+    if few:
+        yield few
+
+
 def _between(parts: list[str], i: int) -> list[str | int]:
     out: list[str | int] = [parts[0]]
     for p in parts[1:]:
@@ -233,53 +297,55 @@ class Plan:
         b = len(self.text) if m is None else int(at[min(self.high[m] - 1, self.low[m] + reach)])
         return Window(a, left, right, b, k, m)
 
-    def accept(self, w: Window, got: np.ndarray, lengths: np.ndarray, ids: dict, borders: dict) -> np.ndarray | None:
+    def accept(self, w: Window, got: list[int], codec: Codec, held: dict[int, tuple[list, list]]) -> list[int] | None:
         """The window's tokens from left to right if its other tokens are the chunks' own."""
-        at = self.byte_at(w.a)
-        ends = np.concatenate(([0], np.cumsum(lengths[got]))) + at
+        ends = codec.ends(got, self.byte_at(w.a))
         i, j = _border(ends, self.byte_at(w.left)), _border(ends, self.byte_at(w.right))
         if i is None or j is None:
             return None
         for k, x, y, own in ((w.first, w.a, w.left, got[:i]), (w.last, w.right, w.b, got[j:])):
             if k is not None:
-                p, q = _border(borders[k], self.byte_at(x)), _border(borders[k], self.byte_at(y))
-                if p is None or q is None or not np.array_equal(ids[self.chunks[k]][p:q], own):
+                tokens, borders = held[k]
+                p, q = _border(borders, self.byte_at(x)), _border(borders, self.byte_at(y))
+                if p is None or q is None or tokens[p:q] != own:
                     return None
         return got[i:j]
 
     def result(self, codec: Codec, ids: dict[str, np.ndarray], repairs: dict[str, np.ndarray]) -> np.ndarray:
         if len(self.chunks) < 2:
             return ids[self.chunks[0]] if self.chunks else np.zeros(0, np.uint32)
-        lengths = codec.lengths
-        used = {k for w in self.windows for k in (w.first, w.last) if k is not None}
-        borders = {k: np.concatenate(([0], np.cumsum(lengths[ids[self.chunks[k]]]))) + self.byte_at(self.starts[k]) for k in used}
-        out, at, inside = [], 0, 0  # settled up to here, and the chunk that goes on from here
+        held: dict[int, tuple[list, list]] = {}
+        for k in {k for w in self.windows for k in (w.first, w.last) if k is not None}:
+            tokens = ids[self.chunks[k]].tolist()
+            held[k] = tokens, codec.ends(tokens, self.byte_at(self.starts[k]))
+        out: list[int] = []
+        at, inside = 0, 0  # settled up to here, and the chunk that goes on from here
         for w in self.windows:
-            got = self.accept(w, repairs[self.text[w.a : w.b]], lengths, ids, borders)
+            got = self.accept(w, repairs[self.text[w.a : w.b]].tolist(), codec, held)
             reach = 1
             while got is None:
                 reach *= 4
                 wider = self.window(w.first, w.last, reach)
                 if (wider.a, wider.b) == (w.a, w.b):
-                    return codec.encode_new([self.text])[0]
+                    return codec.library([self.text])[0]
                 w = wider
-                got = self.accept(w, codec.encode_new([self.text[w.a : w.b]])[0], lengths, ids, borders)
+                got = self.accept(w, codec.library([self.text[w.a : w.b]])[0].tolist(), codec, held)
             if w.left > at:
-                out.append(self._own(w.first, at, w.left, ids, borders))
-            out.append(got)
+                out += self._own(held[w.first], at, w.left)
+            out += got
             at, inside = w.right, w.last
         if at < len(self.text):
-            out.append(self._own(inside, at, len(self.text), ids, borders))
-        return np.concatenate(out)
+            out += self._own(held[inside], at, len(self.text))
+        return np.array(out, np.uint32)
 
-    def _own(self, k: int, a: int, b: int, ids: dict, borders: dict) -> np.ndarray:
-        """Tokens of chunk k between two places that are borders of it."""
-        ends = borders[k]
-        return ids[self.chunks[k]][_border(ends, self.byte_at(a)) : _border(ends, self.byte_at(b))]
+    def _own(self, chunk: tuple[list, list], a: int, b: int) -> list[int]:
+        """The chunk's tokens between two places that are borders of it."""
+        tokens, borders = chunk
+        return tokens[_border(borders, self.byte_at(a)) : _border(borders, self.byte_at(b))]
 
 
-def _border(ends: np.ndarray, at: int) -> int | None:
-    i = int(np.searchsorted(ends, at))
+def _border(ends: list[int], at: int) -> int | None:
+    i = bisect_left(ends, at)
     return i if i < len(ends) and ends[i] == at else None
 
 
