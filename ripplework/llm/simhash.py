@@ -35,6 +35,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -245,9 +246,20 @@ def meet(rows: DataFrame, distance: int, chunk: int = CHUNK) -> DataFrame:
         k, f, node = k[order], f[order], node[order]
         again = np.concatenate(([False], (k[1:] == k[:-1]) & (f[1:] == f[:-1])))
         first = np.maximum.accumulate(np.where(again, 0, np.arange(len(k))))
-        a, b = _compare_runs(k[~again], f[~again], distance)
-        kept = node[~again]
-        return np.concatenate((node[again], kept[a])), np.concatenate((node[first[again]], kept[b]))
+        kept = np.flatnonzero(~again)
+        a, b = _compare_runs(k[kept], f[kept], distance)
+        a, b = np.concatenate((np.flatnonzero(again), kept[a])), np.concatenate((first[again], kept[b]))
+        # all that is connected goes to its smallest node, so that most anchors of a group of
+        # copies give the same edges and no run gives more edges than it has rows
+        least = node.copy()
+        while True:
+            m = np.minimum(least[a], least[b])
+            if (least[a] == m).all() and (least[b] == m).all():
+                break
+            np.minimum.at(least, a, m)
+            np.minimum.at(least, b, m)
+        tied = node != least
+        return node[tied], least[tied]
 
     def first(batches):
         for (k, f, node), hot in _runs(batches, ("anchor", "fp", "node"), chunk):
@@ -348,31 +360,66 @@ WORDS, SIMILARITY = 5, 0.8
 GROUP, HASHES = 1_000, 500
 #: Rows up to which a set of row numbers is broadcast (8 bytes each).
 BROADCAST_ROWS = 2_000_000
-#: Words whose hashes a worker remembers.
-STORE_WORDS = 100_000
+#: Bytes of a text that are hashed at once.
+_HASHED = 1 << 20
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _FACTORS = np.random.default_rng(SEED).integers(1 << 31, 1 << 32, 64 * MIN_PRINTS, dtype=np.uint32) | np.uint32(1)
 
-_word_hashes: dict[str, int] = {}
+#: Products of a block of keys and all factors; small enough for a core's cache.
+_TABLE = np.empty((256, len(_FACTORS)), np.uint32)
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LETTERS = np.random.default_rng(SEED + 1).integers(0, 1 << 64, 256, dtype=np.uint64)
+_LETTERS[ord("A") : ord("Z") + 1] = _LETTERS[ord("a") : ord("z") + 1]
+_BASE = 0x9E3779B97F4A7C15 | 1
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").translate(_LOWER))
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    """XXH64 of each word; those of short ones are remembered."""
-    known = _word_hashes
-    if len(known) > STORE_WORDS:
-        known.clear()
-    for w in set(words).difference(known):
-        if len(w) <= 40:
-            known[w] = xxhash.xxh64_intdigest(w, SEED)
-    get = known.get
-    found = [get(w) for w in words]
-    if None in found:
-        found = [xxhash.xxh64_intdigest(w, SEED) if h is None else h for w, h in zip(words, found)]
-    return np.array(found, np.uint64)
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2^64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(_HASHED, base, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit polynomial hash of each lower-cased word, without a loop over words: prefix sums
+    of (value of a byte) * base^place, and a word's difference moved back to place 0."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    if len(raw) <= _HASHED:
+        return _hash_block(raw)
+    out, at = [], 0
+    while at < len(raw):
+        end = at + _HASHED
+        if end < len(raw):
+            space = np.flatnonzero(_SPACE[raw[at:end]])
+            if not len(space):  # one word is longer than a block
+                rest = np.flatnonzero(_SPACE[raw[end:]])
+                end = end + int(rest[0]) if len(rest) else len(raw)
+                out.append(np.array([xxhash.xxh64_intdigest(raw[at:end].tobytes().lower(), SEED)], np.uint64))
+                at = end
+                continue
+            end = at + int(space[-1]) + 1
+        out.append(_hash_block(raw[at:end]))
+        at = end
+    return np.concatenate([np.zeros(0, np.uint64), *out])
+
+
+def _hash_block(raw: np.ndarray) -> np.ndarray:
+    solid = np.zeros(len(raw) + 2, np.int8)
+    solid[1:-1] = ~_SPACE[raw]
+    edges = np.flatnonzero(np.diff(solid))
+    if not len(edges):
+        return np.zeros(0, np.uint64)
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = _powers()
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_LETTERS[raw] * power[: len(raw)], out=sums[1:])
+    h = (sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * _MIX[3]
+    return h ^ (h >> np.uint64(29))
 
 
 def sequence_keys(h: np.ndarray) -> tuple[int, int]:
@@ -387,7 +434,7 @@ def word_set_prints(text: str | None, prints: int = PRINTS) -> tuple[int, int, l
     A changed word changes five 5-word shingles but one word, so near copies whose shingle
     fingerprints differ in ten bits differ in two or three here; links are only candidates.
     """
-    h = word_hashes(words_of(text))
+    h = word_hashes(text)
     return *sequence_keys(h), set_prints(h, prints)
 
 
@@ -419,7 +466,7 @@ def shingle_hashes(h: np.ndarray, size: int) -> np.ndarray:
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
-    return shingle_hashes(word_hashes(words_of(text)), size)
+    return shingle_hashes(word_hashes(text), size)
 
 
 def min_prints(shingle_keys: np.ndarray) -> list[int]:
@@ -429,13 +476,13 @@ def min_prints(shingle_keys: np.ndarray) -> list[int]:
         return [0] * MIN_PRINTS
     x = (shingle_keys.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
     least = np.full(len(_FACTORS), 0xFFFFFFFF, np.uint32)
-    with np.errstate(over="ignore"):
-        for at in range(0, len(x), 1024):
-            y = x[at : at + 1024, None] * _FACTORS
-            y ^= y >> np.uint32(15)
-            y *= np.uint32(0x2C1B3C6D)
-            y ^= y >> np.uint32(12)
-            np.minimum(least, y.min(0), out=least)
+    for at in range(0, len(x), len(_TABLE)):
+        part = x[at : at + len(_TABLE), None]
+        np.minimum(least, np.multiply(part, _FACTORS, out=_TABLE[: len(part)]).min(0), out=least)
+    # products keep the keys' last bit, so the minima are mixed before a bit is taken
+    least ^= least >> np.uint32(15)
+    least *= np.uint32(0x2C1B3C6D)
+    least ^= least >> np.uint32(12)
     return np.packbits(least & np.uint32(1)).view(">i8").astype(np.int64).tolist()
 
 
@@ -555,7 +602,7 @@ def near_copies(numbered: DataFrame, size: int = WORDS, similarity: float = SIMI
         def step(x: dict) -> dict:
             every = []
             for t in x["text"]:
-                h = word_hashes(words_of(t))
+                h = word_hashes(t)
                 every.append((*sequence_keys(h), *set_prints(h, prints), *min_prints(shingle_hashes(h, size))))
             return {"__row": x["__row"], **{c: [e[k] for e in every] for k, c in enumerate(cols)}}
 
