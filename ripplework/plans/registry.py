@@ -46,8 +46,12 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
     return src.load(spark, "part_seq", d)
 
 
-def held(g: AuxGraph) -> AuxGraph:
-    return AuxGraph(stored(g.nodes, "nodes"), stored(g.edges, "aux_edges"), g.node_prob, g.model, g.factors)
+def built(e: DataFrame, model: str, factors: int, **args) -> AuxGraph:
+    """The expanded graph of stored edges, which are distinct.  Its own edges are stored where
+    ``prepared``, which is stored by all that use it, reads them more than once."""
+    g = build(e, model, factors, dedup=False, **args)
+    edges = stored(g.edges, "aux_edges") if model in ("TRIGGER", "OLO") else g.edges
+    return AuxGraph(stored(g.nodes, "nodes"), edges, g.node_prob, model, factors)
 
 
 # ---------------------------------------------------------------- sources
@@ -172,14 +176,14 @@ for _f in (2, 3, 5):
 for _m in MODELS:
     _f = 3 if _m == "IC2MIX" else 2
     register(f"world_{_m.lower()}_{_f}", o.query([o.USER_SEQ, *o.aux(_m, _f), *o.live(_m, _f, o.world_range(3))], "SELECT r, src, dst FROM live"))(
-        lambda spark, d, m=_m, f=_f: spread.worlds(held(build(users(spark, d), m, f)), 3)
+        lambda spark, d, m=_m, f=_f: spread.worlds(built(users(spark, d), m, f), 3)
     )
 
 
 def _spread(model: str, factors: int, worlds: int) -> Query:
     def run(spark, d):
         e = users(spark, d)
-        g = held(build(e, model, factors))
+        g = built(e, model, factors)
         return spread.spread_by_world(g, baselines.max_degree(e, g.nodes, SEEDS), worlds)
 
     return run
@@ -200,7 +204,7 @@ for _m in MODELS:
 @register("spread_ic_2_relational", ORACLE_SQL["spread_ic_2"])
 def spread_relational(spark, d):
     e = users(spark, d)
-    g = held(build(e, "IC", 2))
+    g = built(e, "IC", 2)
     return spread.spread_by_world(g, baselines.max_degree(e, g.nodes, SEEDS), WORLDS, strategy="relational")
 
 
@@ -217,7 +221,7 @@ _ALL_FACTOR_SQL = o.query(
 def _all_factor(strategy: str) -> Query:
     def run(spark, d):
         e = users(spark, d)
-        g = held(build(e, "IC2MIX", 3, **_MIX))
+        g = built(e, "IC2MIX", 3, **_MIX)
         return spread.all_factor_spread(g, baselines.max_degree(e, g.nodes, SEEDS), WORLDS, strategy=strategy)
 
     return run
@@ -231,7 +235,7 @@ register("spread_all_factor_3_relational", _ALL_FACTOR_SQL)(_all_factor("relatio
 
 
 def _sampler(spark, d, model: str, factors: int, **args) -> rrsets.Sampler:
-    return rrsets.Sampler(held(build(users(spark, d), model, factors)), **args)
+    return rrsets.Sampler(built(users(spark, d), model, factors), **args)
 
 
 for _m in MODELS:
@@ -259,7 +263,7 @@ def rr_extended(spark, d):
 )
 def cover_estimate(spark, d):
     e = users(spark, d)
-    s = rrsets.Sampler(held(build(e, "IC", 2)))
+    s = rrsets.Sampler(built(e, "IC", 2))
     return rrsets.coverage(s.take(0, SETS), baselines.max_degree(e, s.g.nodes, 3), s.n, SETS)
 
 
@@ -353,7 +357,7 @@ def _greedy_sql(model: str) -> str:
 for _m in ("IC", "LT", "TRIGGER"):
     for _lazy in (False, True):
         register(f"{'lazy' if _lazy else 'world'}_greedy_{_m.lower()}_2", _greedy_sql(_m))(
-            lambda spark, d, m=_m, lazy=_lazy: baselines.world_greedy(held(build(users(spark, d), m, 2)), 3, _W, lazy=lazy).table(spark)
+            lambda spark, d, m=_m, lazy=_lazy: baselines.world_greedy(built(users(spark, d), m, 2), 3, _W, lazy=lazy).table(spark)
         )
 
 
@@ -374,7 +378,7 @@ def _and_greedy_sql() -> str:
 
 
 def _and_greedy(strategy: str) -> Query:
-    return lambda spark, d: baselines.world_greedy(held(build(users(spark, d), "IC2MIX", 3, **_MIX)), 2, _W, strategy=strategy).table(spark)
+    return lambda spark, d: baselines.world_greedy(built(users(spark, d), "IC2MIX", 3, **_MIX), 2, _W, strategy=strategy).table(spark)
 
 
 register("world_greedy_all_factor_3", _and_greedy_sql())(_and_greedy("auto"))
@@ -391,7 +395,7 @@ def _joined(seeds: list[int]) -> str:
 
 @register("imm_ic_2")
 def imm_ic(spark, d):
-    r = select.imm(held(build(users(spark, d), "IC", 2)), 3, eps=0.5)
+    r = select.imm(built(users(spark, d), "IC", 2), 3, eps=0.5)
     return _facts(spark, seeds=_joined(r.cover.seeds), theta=r.theta, lower=r.lower, influence=r.influence)
 
 
@@ -408,7 +412,7 @@ def _opim_sql(model: str, k: int, sets: int, ctes: list[str], rows: str) -> str:
       round(covered2 * (SELECT COUNT(*) FROM v) / {_HALF}.0::DOUBLE, 6) AS influence FROM found"""),
 )
 def opim_ic(spark, d):
-    r = select.opim(held(build(users(spark, d), "IC", 2)), 3, 2 * _HALF)
+    r = select.opim(built(users(spark, d), "IC", 2), 3, 2 * _HALF)
     return _facts(spark, seeds=_joined(r.cover.seeds), sets=r.sets, ratio=round(r.ratio, 9), influence=round(float(r.influence), 6))
 
 
@@ -420,7 +424,7 @@ def opim_all_factor(spark, d):
 
 @register("opimc_ic_2")
 def opimc_ic(spark, d):
-    r = select.opimc(held(build(users(spark, d), "IC", 2)), 3, eps=0.4)
+    r = select.opimc(built(users(spark, d), "IC", 2), 3, eps=0.4)
     return _facts(spark, seeds=_joined(r.cover.seeds), sets=r.sets, ratio=r.ratio, influence=float(r.influence), accepted=r.accepted)
 
 
@@ -433,7 +437,7 @@ def _prefix_out(rows: DataFrame) -> DataFrame:
 
 @register("opimc_prefix_ic_3")
 def opimc_prefix(spark, d):
-    return _prefix_out(select.opimc_prefix(held(build(users(spark, d), "IC", 3)), [1, 2, 4], eps=0.4)[1])
+    return _prefix_out(select.opimc_prefix(built(users(spark, d), "IC", 3), [1, 2, 4], eps=0.4)[1])
 
 
 _share = "((SELECT COUNT(*) FROM v) / 1000.0::DOUBLE)"
@@ -446,18 +450,18 @@ _share = "((SELECT COUNT(*) FROM v) / 1000.0::DOUBLE)"
       round((SELECT COUNT(DISTINCT rr_id) FROM rr2 WHERE node IN (SELECT node FROM sel WHERE rank <= k)) * {_share}, 6) AS validation_influence, (SELECT round(ratio, 9) FROM found) AS approximation_for_kmax, 1000::BIGINT AS rr_sets FROM ks"""),
 )
 def opim_prefix(spark, d):
-    return _prefix_out(select.opim_prefix(held(build(users(spark, d), "LT", 2)), [0, 1, 3], 2000)[1])
+    return _prefix_out(select.opim_prefix(built(users(spark, d), "LT", 2), [0, 1, 3], 2000)[1])
 
 
 @register("imm_prefix_trigger_2")
 def imm_prefix(spark, d):
-    return select.imm_prefix(held(build(users(spark, d), "TRIGGER", 2)), [1, 3], eps=0.5)[1].withColumn("seeds", F.array_join("seeds", " "))
+    return select.imm_prefix(built(users(spark, d), "TRIGGER", 2), [1, 3], eps=0.5)[1].withColumn("seeds", F.array_join("seeds", " "))
 
 
 @register("stopping_rule_ic_2")
 def stopping_rule(spark, d):
     e = users(spark, d)
-    s = rrsets.Sampler(held(build(e, "IC", 2)))
+    s = rrsets.Sampler(built(e, "IC", 2))
     found = rrsets.stopping_rule(s, [r.id for r in baselines.max_degree(e, s.g.nodes, 3).collect()], eps=0.2)
     return _facts(spark, influence=found.influence, sets=found.sets, reached=found.reached)
 
@@ -481,16 +485,16 @@ def stateful_samples(spark, d):
 
 @register("stateful_samples_3_relational", _USES_SQL)
 def stateful_samples_relational(spark, d):
-    return rrsets.Sampler(held(build(users(spark, d), "IC2MIX", 3, **_MIX)), strategy="relational").uses(0, SETS)
+    return rrsets.Sampler(built(users(spark, d), "IC2MIX", 3, **_MIX), strategy="relational").uses(0, SETS)
 
 
 def _sampler_mix(spark, d) -> rrsets.Sampler:
-    return rrsets.Sampler(held(build(users(spark, d), "IC2MIX", 3, **_MIX)))
+    return rrsets.Sampler(built(users(spark, d), "IC2MIX", 3, **_MIX))
 
 
 @register("all_factor_greedy_3")
 def all_factor_greedy(spark, d):
-    return select.all_factor_greedy(held(build(users(spark, d), "IC2MIX", 3, **_MIX)), 3, SETS)[0].table(spark)
+    return select.all_factor_greedy(built(users(spark, d), "IC2MIX", 3, **_MIX), 3, SETS)[0].table(spark)
 
 
 # ---------------------------------------------------------------- social

@@ -454,3 +454,14 @@ def test_counts_of_a_forest(spark):
         forest = spread.Forest(by[1], world)
         assert all(forest.reach([s * 8]) == x for s, x in want.items())
         assert dict(forest.counts(origins)) == {s: sum(not v & 7 for v in x) for s, x in want.items()}
+
+
+def test_stored_user_edges_are_not_made_distinct_again(spark, toy):
+    """A query's graph is read from its stored ties, once, and has one copy of its expanded edges."""
+    for model in ("IC", "LT", "TRIGGER"):
+        g = registry.built(registry.stored(toy, "edges"), model, 2)
+        assert sorted(g.edges.collect()) == sorted(A.build(toy, model, 2).edges.collect())
+        plan = spread.prepared(g)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate [src" not in plan and ("aux_edges" in str(g.edges.inputFiles())) == (model == "TRIGGER")
+        s = rrsets.Sampler(g)
+        assert select.aux_nodes(s) == A.sizes(g)[0]
