@@ -404,6 +404,13 @@ def test_long_cascade_under_and(spark):
     assert baselines.world_greedy(g, 1, 1, strategy="local").picks == [(0, 31)]
 
 
+def test_cascade_under_and_by_joins(spark):
+    """The joins follow a cascade of gates and direct ties past the 12 rounds of the query's SQL."""
+    path = spark.createDataFrame([(i, i + 1) for i in range(16)], "src long, dst long")
+    g = A.build(path, "IC2MIX", 3, p=1.0, ratio=0.5)
+    assert baselines.world_greedy(g, 1, 1, strategy="relational").picks == [(0, 17)]
+
+
 def test_shares_are_fetched_from_one_pass(spark, toy, monkeypatch):
     """However many shares a graph has, its edges are read, sorted and encoded once, by tasks."""
     kept = []
