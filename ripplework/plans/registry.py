@@ -51,7 +51,7 @@ def built(e: DataFrame, model: str, factors: int, **args) -> AuxGraph:
     ``prepared``, which is stored by all that use it, reads them more than once."""
     g = build(e, model, factors, dedup=False, **args)
     edges = stored(g.edges, "aux_edges") if model in ("TRIGGER", "OLO") else g.edges
-    return AuxGraph(stored(g.nodes, "nodes"), edges, g.node_prob, model, factors)
+    return AuxGraph(stored(g.nodes, "nodes"), edges, g.node_prob, model, factors, g.alike)
 
 
 # ---------------------------------------------------------------- sources

@@ -472,3 +472,32 @@ def test_stored_user_edges_are_not_made_distinct_again(spark, toy):
         assert "Aggregate [src" not in plan and ("aux_edges" in str(g.edges.inputFiles())) == (model == "TRIGGER")
         s = rrsets.Sampler(g)
         assert select.aux_nodes(s) == A.sizes(g)[0]
+
+
+@pytest.mark.parametrize("gate", ["original", "factor_aware"])
+@pytest.mark.parametrize("factors", [2, 5])
+def test_large_lt_spread_needs_no_rounds(spark, monkeypatch, factors, gate):
+    rng = random.Random(factors)
+    ties = {(rng.randrange(70), rng.randrange(70)) for _ in range(160)} | {(u, 7) for u in range(60)}
+    g = A.build(spark.createDataFrame([t for t in ties if t[0] != t[1]], "src long, dst long"), "LT", factors, parent_gate=gate)
+    seeds = ids(spark, 1, 7, 20, 21, 22, 999)  # some below others, one unknown
+    rows = lambda **how: sorted(map(tuple, spread.spread_by_world(g, seeds, 12, first=3, **how).collect()))
+    want = rows(strategy="local")
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("a loop of joins")
+
+    monkeypatch.setattr(spread, "closure", refuse)
+    monkeypatch.setattr(spread, "LOCAL_EDGES", 0)
+    monkeypatch.setattr(spread, "SLICE", 28)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # nodes are cut between slices
+    try:
+        assert rows() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len({x for _, x in want}) > 3
+
+
+def test_lt_spread_without_ties(spark):
+    g = A.build(spark.createDataFrame([], "src long, dst long"), "LT", 2, nodes=ids(spark, 1, 2))
+    assert [r.spread for r in spread.spread_by_world(g, ids(spark, 1, 2, 3), 2).collect()] == [2, 2]
